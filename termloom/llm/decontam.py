@@ -37,19 +37,23 @@ END = -1
 BROADCAST_ROWS = 200_000
 
 
-def _gram_hashes(words: str, length: int) -> Column:
+def _gram_hashes(words: Column, length: int) -> Column:
     """The hash at each place where ``length`` words stand."""
-    there = F.slice(F.col(words), F.lit(1), F.greatest(F.size(words) - (length - 1), F.lit(0)))
-    return F.transform(there, lambda w, i: F.xxhash64(w, *(F.get(F.col(words), i + j) for j in range(1, length))))
+    there = F.slice(words, F.lit(1), F.greatest(F.size(words) - (length - 1), F.lit(0)))
+    return F.transform(there, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, length))))
 
 
-def with_fingerprints(df: DataFrame, words: str) -> DataFrame:
-    """Adds ``marks``: at each place the gram's hash where it is the smallest of some window, else null."""
-    df = df.withColumn("_grams", _gram_hashes(words, GRAM))
-    full = F.slice(F.col("_grams"), F.lit(1), F.greatest(F.size("_grams") - SIDE, F.lit(0)))
-    df = df.withColumn("_least", F.transform(full, lambda h, i: F.least(h, *(F.get(F.col("_grams"), i + j) for j in range(1, SIDE + 1)))))
-    largest = lambda i: F.greatest(*(F.get(F.col("_least"), i - j) for j in range(SIDE, -1, -1)))
-    return df.withColumn("marks", F.transform(F.col("_grams"), lambda h, i: F.when(h == largest(i), h))).drop("_grams", "_least")
+def _least(grams: Column) -> Column:
+    """The smallest hash of each full window."""
+    full = F.slice(grams, F.lit(1), F.greatest(F.size(grams) - SIDE, F.lit(0)))
+    return F.transform(full, lambda h, i: F.least(h, *(F.get(grams, i + j) for j in range(1, SIDE + 1))))
+
+
+def fingerprints(words: Column) -> Column:
+    """At each place the gram's hash where it is the smallest of some window, else null."""
+    largest = lambda least, i: F.greatest(*(F.get(least, i - j) for j in range(SIDE, -1, -1)))
+    chosen = lambda grams, least: F.transform(grams, lambda h, i: F.when(h == largest(least, i), h))
+    return common.let(words, lambda w: common.let(_gram_hashes(w, GRAM), lambda g: common.let(_least(g), lambda m: chosen(g, m))))
 
 
 def _word(words: str, at: Column) -> Column:
@@ -66,7 +70,7 @@ def _agreeing(pairs: list[Column]) -> Column:
 
 def item_fingerprints(items: DataFrame) -> DataFrame:
     """(hash, item_id, gram, left, right) of items (item_id, words) of 8 words or more; left is nearest first."""
-    marked = with_fingerprints(items.where(F.size("words") >= WINDOW), "words").select("item_id", "words", F.posexplode("marks").alias("q", "hash")).where(F.col("hash").isNotNull())
+    marked = items.where(F.size("words") >= WINDOW).select("item_id", "words", F.posexplode(fingerprints(F.col("words"))).alias("q", "hash")).where(F.col("hash").isNotNull())
     near = lambda *at: F.array(*(_word("words", F.col("q") + j) for j in at))
     return marked.select("hash", "item_id", near(*range(GRAM)).alias("gram"), near(*range(-1, -SIDE - 1, -1)).alias("left"), near(*range(GRAM, WINDOW)).alias("right")).distinct()
 
@@ -77,7 +81,7 @@ def _extended(joined: DataFrame) -> DataFrame:
     core = reduce(lambda a, b: a & b, (same(j, "gram", j) for j in range(GRAM)))
     left = _agreeing([same(-1 - k, "left", k) for k in range(SIDE)])
     right = _agreeing([same(GRAM + k, "right", k) for k in range(SIDE)])
-    found = joined.where((F.col("p") == F.col("n_words")) | core).withColumn("_l", left).withColumn("_r", right)
+    found = joined.where(F.col("item_id").isNull() | core).withColumn("_l", left).withColumn("_r", right)
     marker = F.col("item_id").isNull()
     found = found.where(marker | (F.col("_l") + F.col("_r") >= SIDE))
     return found.select("row_id", "doc_id", "n_words", "item_id", F.when(~marker, F.col("p") - F.col("_l")).alias("a"), F.when(~marker, F.col("p") + GRAM + F.col("_r")).alias("b"))
@@ -88,18 +92,17 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, broadcast_rows: int = BR
     items = common.stored(benchmark.select(F.col("item_id").cast("long").alias("item_id"), common.words_of(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0))
     docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), common.words_of(F.col("text").cast("string")).alias("words")).withColumn("n_words", F.size("words").cast("long"))
     prints = item_fingerprints(items)
-    marker = F.concat(F.col("marks"), F.array(F.lit(END).cast("long")))
-    exploded = with_fingerprints(docs, "words").withColumn("n_marks", F.size("marks")).select("row_id", "doc_id", "n_words", "words", "n_marks", F.posexplode(marker).alias("p0", "hash")).where(F.col("hash").isNotNull())
-    at_end = F.col("p0") == F.col("n_marks")
+    marker = F.concat(fingerprints(F.col("words")), F.array(F.lit(END).cast("long")))
+    exploded = docs.select("row_id", "doc_id", "n_words", "words", F.posexplode(marker).alias("p", "hash")).where(F.col("hash").isNotNull())
+    at_end = F.col("p") == F.greatest(F.col("n_words") - (GRAM - 1), F.lit(0))
     spark = documents.sparkSession
     end = spark.createDataFrame([(END, None, None, None, None)], "hash long, item_id long, gram array<string>, left array<string>, right array<string>")
     found = None
     if prints.limit(broadcast_rows + 1).count() <= broadcast_rows:
         rows = exploded.join(F.broadcast(prints.unionByName(end)), "hash")
-        rows = rows.where(at_end == F.col("item_id").isNull()).withColumn("p", F.when(at_end, F.col("n_words")).otherwise(F.col("p0")))
-        found = _extended(rows)
+        found = _extended(rows.where(at_end == F.col("item_id").isNull()))
     else:
-        narrow = exploded.where(~at_end).select("row_id", "hash", F.col("p0").alias("p")).join(prints, "hash")
+        narrow = exploded.where(~at_end).select("row_id", "hash", "p").join(prints, "hash")
         matched = docs.join(narrow, "row_id").where(F.col("item_id").isNotNull())
         ends = docs.select("row_id", "doc_id", "n_words", F.lit(None).cast("long").alias("item_id"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
         found = _extended(matched).unionByName(ends)
@@ -110,7 +113,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, broadcast_rows: int = BR
 
 def _short_hits(docs: DataFrame, items: DataFrame, length: int) -> DataFrame:
     short = items.where(F.size("words") == length).select(F.xxhash64(*(F.get("words", F.lit(j)) for j in range(length))).alias("hash"), F.col("words").alias("gram"), "item_id")
-    grams = docs.withColumn("marks", _gram_hashes("words", length)).select("row_id", "doc_id", "n_words", "words", F.posexplode("marks").alias("p", "hash"))
+    grams = docs.select("row_id", "doc_id", "n_words", "words", F.posexplode(common.let(F.col("words"), lambda w: _gram_hashes(w, length))).alias("p", "hash"))
     same = reduce(lambda a, b: a & b, (_word("words", F.col("p") + j) == F.get("gram", F.lit(j)) for j in range(length)))
     return grams.join(short, "hash").where(same).select("row_id", "doc_id", "n_words", "item_id", F.col("p").cast("long").alias("a"), (F.col("p") + length).cast("long").alias("b"))
 

@@ -66,10 +66,10 @@ def votes(documents: DataFrame, table: DataFrame) -> DataFrame:
     """Votes by document and diagonal: (row_id, doc_id, n_words, template, label, is_base, n_grams, diagonal, votes, low, high)."""
     docs = documents.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), common.words_of(F.col("text").cast("string")).alias("words"))
     docs = docs.withColumn("n_words", F.size("words"))
-    grams = F.transform(F.slice("words", F.lit(1), F.greatest(F.col("n_words") - 1, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1)))
-    docs = docs.withColumn("grams", F.concat(grams, F.array(F.lit(END).cast("long")))).withColumn("n_grams_doc", F.size("grams"))
-    placed = docs.select("row_id", "doc_id", "n_words", "words", "n_grams_doc", F.posexplode("grams").alias("p", "hash"))
-    at_end = F.col("p") == F.col("n_grams_doc") - 1
+    pairs = lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1)))
+    marked = F.concat(common.let(F.col("words"), pairs), F.array(F.lit(END).cast("long")))
+    placed = docs.select("row_id", "doc_id", "n_words", "words", F.posexplode(marked).alias("p", "hash"))
+    at_end = F.col("p") == F.greatest(F.col("n_words") - 1, F.lit(0))
     same = (F.get("words", F.col("p")) == F.col("w1")) & (F.get("words", F.col("p") + 1) == F.col("w2"))
     matched = placed.join(F.broadcast(table), "hash").where(F.when(F.col("is_end"), at_end).otherwise(~at_end & same))
     return matched.groupBy("row_id", "doc_id", "n_words", "template", "label", "is_base", "is_end", "n_grams", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("p").alias("low"), F.max("p").alias("high"))
