@@ -1,0 +1 @@
+"""Termloom: text search and corpus analysis on Spark DataFrames."""
