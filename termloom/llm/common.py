@@ -1,18 +1,18 @@
 """Helpers shared by the training-data operators.
 
-Nothing here depends on the rest of the library, so the subpackage can be
-removed or reused on its own.
+The rest of the library doesn't depend on this subpackage, which can be removed.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termloom.storage import stored  # noqa: F401  (for the operators)
+
 #: Fixed value: a word of the shared word contracts, after A-Z are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed value: what separates such words.
@@ -49,31 +49,30 @@ def id_remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+#: Bound on broadcast ids, 8 bytes each.
+BROADCAST_IDS = 2_000_000
 
-    ``spark.checkpoint.dir`` names it; only where the session sets none (local
-    tests) a temporary folder of this machine is used.
-    """
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not root:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(root)
-    return root
 
+def bounded(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (a stored table) marked for broadcast if they are few, else as they are, for a shuffle join."""
+    return F.broadcast(ids) if ids.count() <= limit else ids
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def without(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``df`` without the rows whose key is among ``ids``; rows with a null key stay."""
+    return df.join(bounded(stored(ids.select(key).distinct())), key, "left_anti").select(df.columns)
+
+
+def kept_rows(df: DataFrame, keep: Callable[[Any], Any], limit: int = 4 << 20) -> DataFrame:
+    """The rows of ``df`` for which ``keep``, given the Arrow column ``text`` of some rows, says so; one pass, no join."""
+
+    def passed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in byte_batches(batches, limit):
+            yield batch.filter(pa.array(keep(batch.column("text")), pa.bool_()))
+
+    return df.mapInArrow(passed, df.schema)
 
 
 def sampled_by_class(df: DataFrame, key: str, label: str, per_class: int) -> tuple[DataFrame, dict]:

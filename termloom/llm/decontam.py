@@ -98,7 +98,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, broadcast_rows: int = BR
     spark = documents.sparkSession
     end = spark.createDataFrame([(END, None, None, None, None)], "hash long, item_id long, gram array<string>, left array<string>, right array<string>")
     found = None
-    if prints.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if prints.count() <= broadcast_rows:
         rows = exploded.join(F.broadcast(prints.unionByName(end)), "hash")
         found = _extended(rows.where(at_end == F.col("item_id").isNull()))
     else:

@@ -188,7 +188,7 @@ def fit(documents: DataFrame, *, per_language: int = 300, modulus: int = 4, held
     known = documents.where(F.col("lang").isNotNull()).where(common.id_remainder("doc_id", modulus) != held_remainder)
     sample, counts = common.sampled_by_class(known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "doc_id", "lang", per_language)
     texts: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(sample.collect(), key=lambda r: (r["doc_id"], r["lang"], r["text"] or "")):
+    for r in sorted(sample.collect(), key=lambda r: (str(r["doc_id"]), r["lang"], r["text"] or "")):
         if r["text"]:
             texts[r["lang"]].append(r["text"])
     return train(texts)
@@ -208,6 +208,17 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, lang_pred string, score double")
 
 
+def keep(documents: DataFrame, model: Model, *, least_share: float) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that have a language with at least that share of the posterior."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def told(texts) -> np.ndarray:  # noqa: ANN001
+        named, share = shared.value.predict(texts)
+        return (np.array(named, object) != UNDETERMINED) & (share >= least_share)
+
+    return common.kept_rows(documents, told, 2 << 20)
+
+
 def identify(documents: DataFrame, *, modulus: int = 4, held_remainder: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each document."""
     model = fit(documents, modulus=modulus, held_remainder=held_remainder)

@@ -116,7 +116,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, per_class: int = 3000, modul
     kinds = labels.where(F.col("quality").isin(0, 1)).where(common.id_remainder("doc_id", modulus) != held_remainder).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     sample, counts = common.sampled_by_class(kinds, "doc_id", "quality", per_class)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"] or ""))
     kept = {k: sum(r["quality"] == k for r in rows) for k in (0, 1)}
     weight = {k: counts.get(k, 0) / max(1, kept[k]) for k in (0, 1)}
     top = max(weight.values(), default=1.0) or 1.0

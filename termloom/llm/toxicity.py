@@ -152,7 +152,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, per_class: int = 1500, modul
     kinds = labels.where(F.col("toxic").isin(0, 1)).where(common.id_remainder("doc_id", modulus) != held_remainder).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample, counts = common.sampled_by_class(kinds, "doc_id", "toxic", per_class)
     rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"] or ""))
     texts = lambda kind: [r["text"] or "" for r in rows if r["toxic"] == kind]
     return train(texts(1), texts(0), (counts.get(1, 0), counts.get(0, 0)))
 
@@ -169,6 +169,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
 
 
+def keep(documents: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, with all their columns, that score below the threshold."""
+    return common.kept_rows(documents, lambda texts: model.scores(texts.to_pylist()) < threshold)
+
+
 def classify(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.5, modulus: int = 5, held_remainder: int = 0) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each document."""
     model = fit(documents, labels, modulus=modulus, held_remainder=held_remainder)
