@@ -10,10 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from termloom.llm import decontam, langid, neardup, packing, toxicity
-from termloom.llm.common import stored, table
+from termloom.llm.common import stored, table, without
 from termloom.llm.queries import tokenizer_path
 
 #: A language prediction below this share of the posterior is rejected.
@@ -22,27 +21,22 @@ LEAST_SHARE = 0.3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents predicted to be toxic; the classifier learns from labels of the documents at hand."""
-    judged = toxicity.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(judged, "doc_id", "left_anti").select(docs.columns)
+    return toxicity.keep(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold no letter or whose language is a toss-up."""
-    named = langid.identify(docs)
-    bad = named.where((F.col("lang_pred") == langid.UNDETERMINED) | (F.col("score") < LEAST_SHARE)).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return langid.keep(docs, langid.fit(docs), least_share=LEAST_SHARE)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the document that names it."""
-    extra = neardup.classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, neardup.classes(docs).where("doc_id <> class_id"))
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a window of any benchmark item."""
-    leaked = decontam.report(docs, table(spark, sf_dir, "benchmark"), min_items=1).where("contaminated").select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, decontam.report(docs, table(spark, sf_dir, "benchmark"), min_items=1).where("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
