@@ -107,7 +107,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_lenient_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a text file; bytes that aren't UTF-8 are left out."""
-    return spark.read.text(path).select(F.replace("value", F.lit("�"), F.lit("")).alias("value"))
+    return spark.read.text(path).select(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("value"))
 
 
 def training_texts(spark: SparkSession, path: str, limit: int = 50_000_000) -> DataFrame:
