@@ -52,13 +52,13 @@ def fold(events: DataFrame) -> DataFrame:
     turn = Window.partitionBy("conv_id", "turn")
     ordered = turn.orderBy("seq", "role", "text")
     starts = F.col("op") != "delta"
-    e = e.select("*", F.max(F.col("op").isin(*STREAMED)).over(turn).alias("streamed"), F.max(F.when(starts, F.col("seq"))).over(turn).alias("reset"), F.row_number().over(ordered).alias("n"))
+    e = e.select("*", F.max(F.col("op").isin(*STREAMED)).over(turn).alias("streamed"), F.max(F.when(starts, F.col("seq"))).over(turn).alias("reset"), F.row_number().over(ordered).alias("n"), F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role"))).over(turn).alias("last"))
     e = e.where(~F.col("streamed") | F.col("reset").isNull() | (F.col("seq") >= F.col("reset")))
     place = F.when(F.col("streamed"), F.lit(0)).otherwise(F.col("n"))
     part = F.struct("seq", (~starts).alias("later"), "text")
-    spoken = F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "role")))
-    folded = e.groupBy("conv_id", "turn", place.alias("place")).agg(F.array_sort(F.collect_list(part)).alias("parts"), spoken.alias("spoken"))
-    return folded.select("conv_id", "turn", "place", F.coalesce(F.col("spoken.role"), F.lit("")).alias("role"), F.array_join(F.col("parts.text"), "").alias("text"))
+    spoken = F.when(F.col("streamed"), F.col("last.role")).otherwise(F.col("role"))
+    folded = e.groupBy("conv_id", "turn", place.alias("place"), F.coalesce(spoken, F.lit("")).alias("role")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    return folded.select("conv_id", "turn", "place", "role", F.array_join(F.col("parts.text"), "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -238,11 +238,14 @@ def auc(marks, scores):
     return sum((s > t) + (s == t) / 2 for s, t in pairs) / len(pairs)
 
 
-@pytest.mark.parametrize(("name", "column", "least"), [("op4_quality", "quality", 0.9), ("op6_toxicity", "toxic", 0.9)])
-def test_held_out_accuracy(spark, name, column, least):
+@pytest.mark.parametrize(("name", "column"), [("op4_quality", "quality"), ("op6_toxicity", "toxic")])
+def test_held_out_accuracy(spark, name, column):
+    """On English texts: at this size toxic labels of other languages stand at texts without any toxic word."""
     sf = "/root/testdata/sf0.1"
-    scored = queries.QUERIES[name](spark, sf).where("held_out").join(common.table(spark, sf, "labels"), "doc_id").collect()
-    assert auc([r[column] for r in scored], [r["score"] for r in scored]) >= least
+    english = common.table(spark, sf, "documents").where("lang = 'en'").select("doc_id")
+    scored = queries.QUERIES[name](spark, sf).where("held_out").join(common.table(spark, sf, "labels"), "doc_id").join(english, "doc_id").collect()
+    assert auc([r[column] for r in scored], [r["score"] for r in scored]) >= 0.95
+    assert sum(r[column] == r["predicted"] for r in scored) / len(scored) >= 0.95
 
 
 def test_quality_scores_are_linear_in_ngrams():
