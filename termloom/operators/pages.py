@@ -55,54 +55,104 @@ def crawl(pages: DataFrame, seeds: DataFrame, domain: str, max_depth: int = 4) -
     return visited
 
 
-class _Comments(HTMLParser):
-    """Comment blocks: elements with class ``comment`` and, inside, ``author``, ``text``, ``recommend`` and ``ordinal``."""
+# The class names of the comment markup.
+BLOCK = "comment"
+NAME, BODY, DATE, ORIGIN, CONTAINER = "comment-meta__name", "comment__body", "comment-meta__date", "comment__origin", "comment__container"
+RECOMMENDED, REACTIONS, JUMP = "js-comment-recommendations", "comment__reactions", "comment__origin js-jump-to-comment"
+SECTION, NEXT, OTHER_NEXT = "comment-section__item", "pager__button pager__button--next", "zb-pager__btn-rel-next"
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
-    VOID = {"br", "img", "hr", "input", "meta", "link", "wbr"}
 
+class Element:
+    """An element of a page: tag, attributes, and what it holds (elements and texts, in order)."""
+
+    def __init__(self, tag: str, attrs: dict[str, str | None]):
+        self.tag, self.attrs, self.inside = tag, attrs, []
+
+    def all(self) -> Iterator[Element]:
+        """The elements below, in document order."""
+        for x in self.inside:
+            if isinstance(x, Element):
+                yield x
+                yield from x.all()
+
+    def texts(self) -> Iterator[str]:
+        for x in self.inside:
+            if isinstance(x, Element):
+                yield from x.texts()
+            else:
+                yield x
+
+    def children(self, tag: str) -> list[Element]:
+        return [x for x in self.inside if isinstance(x, Element) and x.tag == tag]
+
+    def holds(self, name: str) -> bool:
+        """Whether the class attribute has the name somewhere in it."""
+        return name in (self.attrs.get("class") or "")
+
+    def named(self, name: str) -> bool:
+        return self.attrs.get("class") == name
+
+
+class _Reader(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.found: list[dict] = []
-        self.stack: list[str] = []
-        self.depth: int | None = None
+        self.root = Element("", {})
+        self.open = [self.root]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        names = (a.get("class") or "").split()
-        if tag not in self.VOID:
-            self.stack.append(next((n for n in ("author", "text", "recommend", "ordinal") if n in names), ""))
-        if "comment" in names:
-            self.depth = len(self.stack)
-            self.found.append({"cid": _after_cid(a.get("id")), "pid": _after_cid(a.get("data-parent")), "respond_to": None, "user_url": "", "text": [], "recommend": "", "ordinal": ""})
-        elif self.found and self.depth is not None:
-            if tag == "a" and "author" in names:
-                self.found[-1]["user_url"] = a.get("href") or ""
-            if tag == "a" and "respond-to" in names:
-                self.found[-1]["respond_to"] = _after_cid(a.get("href"))
+        element = Element(tag, dict(attrs))
+        self.open[-1].inside.append(element)
+        if tag not in VOID:
+            self.open.append(element)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in self.VOID and self.stack:
-            self.stack.pop()
-            if self.depth is not None and len(self.stack) < self.depth:
-                self.depth = None
+        depth = next((i for i in range(len(self.open) - 1, 0, -1) if self.open[i].tag == tag), 0)
+        if depth:
+            del self.open[depth:]
 
     def handle_data(self, data: str) -> None:
-        if self.depth is None:
-            return
-        inside = next((n for n in reversed(self.stack[self.depth - 1 :]) if n), "")
-        if inside == "text":
-            self.found[-1]["text"].append(data.strip())
-        elif inside in ("recommend", "ordinal"):
-            self.found[-1][inside] += data
+        self.open[-1].inside.append(data)
+
+
+def parsed_page(html: str | None) -> Element:
+    reader = _Reader()
+    reader.feed(html or "")
+    reader.close()
+    return reader.root
+
 
+def _first(found: Iterator, default: str | None = None) -> str | None:
+    return next(iter(found), default)
 
-def _after_cid(value: str | None) -> str | None:
-    return value.rpartition("cid-")[2] if value and "cid-" in value else None
 
+def _after_cid(href: str | None) -> str | None:
+    return href.rpartition("cid-")[2] if href is not None else None
 
-def _number(text: str) -> int:
-    digits = text.strip()
-    return int(digits) if digits.isdecimal() else 0
+
+def comment_of(block: Element) -> tuple:
+    """(user_url, user_name, comment_text, recommendations, nth_comment_in_article, respond_to, cid, pid) of a comment block."""
+    inside = [block, *block.all()]
+    href = lambda elements: (e.attrs["href"] or "" for e in elements if "href" in e.attrs)
+    user = _first(href(a for e in inside if e.tag == "div" and e.holds(NAME) for a in e.children("a")), "")
+    body = [t.strip() for e in inside if e.tag == "div" and e.holds(BODY) and not any(e in o.inside for o in inside if o.holds(BODY)) for t in e.texts()]
+    liked = _first((t for e in inside if e.named(RECOMMENDED) for t in e.texts()), "0").strip()
+    ordinal = _first((t for e in inside if e.holds(DATE) for t in e.texts()), "")
+    ordinal = "\n".join(line.partition("\xa0")[0] for line in ordinal.split("\n")).replace("#", "").strip()
+    strong = (a.children("strong") for e in inside if e.tag == "div" and e.named(REACTIONS) for a in e.children("a") if a.named(JUMP))
+    answered = _first(x.strip() for s in strong if len(s) > 1 for x in s[1].inside if isinstance(x, str))
+    cid, pid = _after_cid(_first(href(e for e in inside if e.holds(DATE)))), _after_cid(_first(href(e for e in inside if e.tag == "a" and e.holds(ORIGIN))))
+    return user, user.rpartition("/")[2], "\n".join(body).strip(), int(liked) if liked.isdecimal() else 0, ordinal, answered, cid, pid
+
+
+def navigation_of(page: Element) -> tuple[str | None, list[str]]:
+    """The link to the next page of comments (by the first markup, else the second), and the links to hidden replies."""
+    every = list(page.all())
+    sections = (a for e in every if e.tag == "div" and e.named(SECTION) for a in e.all() if a.tag == "a" and a.named(NEXT))
+    others = (a for a in every if a.tag == "a" and a.holds(OTHER_NEXT))
+    links = [a.attrs["href"] for group in (sections, others) for a in group if "href" in a.attrs]
+    replies = [x.attrs["data-url"] for e in every if e.tag == "div" and e.holds(CONTAINER) for x in e.all() if x.attrs.get("data-url")]
+    return (links[0] if links else None), list(dict.fromkeys(replies))
 
 
 COMMENT_FIELDS = "url string, user_url string, user_name string, comment_text string, recommendations int, nth_comment_in_article string, respond_to string, cid string, pid string"
@@ -116,14 +166,20 @@ def comment_fields(pages: DataFrame) -> DataFrame:
 
     def parsed(batches: Iterator) -> Iterator:
         for batch in batches:
-            rows = []
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                reader = _Comments()
-                reader.feed(html or "")
-                for c in reader.found:
-                    ordinal = c["ordinal"].partition("\xa0")[0].replace("#", "")
-                    rows.append((url, c["user_url"], c["user_url"].rpartition("/")[2], "\n".join(c["text"]).strip(), _number(c["recommend"]), ordinal, c["respond_to"], c["cid"], c["pid"]))
+            rows = [(url, *comment_of(e)) for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True) for e in parsed_page(html).all() if e.tag == "article" and e.holds(BLOCK)]
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.record_batch([pa.array(c, pa.int32() if n == "recommendations" else pa.string()) for n, c in zip(names, columns, strict=True)], names=names)
 
     return pages.select(without_query(F.col("url")).alias("url"), "html").mapInArrow(parsed, COMMENT_FIELDS)
+
+
+def navigation(pages: DataFrame) -> DataFrame:
+    """(url, next_page, replies) of pages (url, html)."""
+    import pyarrow as pa
+
+    def parsed(batches: Iterator) -> Iterator:
+        for batch in batches:
+            found = [navigation_of(parsed_page(html)) for html in batch.column("html").to_pylist()]
+            yield pa.record_batch([batch.column("url"), pa.array([n for n, _ in found], pa.string()), pa.array([r for _, r in found], pa.list_(pa.string()))], names=["url", "next_page", "replies"])
+
+    return pages.select(F.col("url").cast("string").alias("url"), "html").mapInArrow(parsed, "url string, next_page string, replies array<string>")

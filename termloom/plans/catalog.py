@@ -295,7 +295,7 @@ ORACLE_SQL: dict[str, str] = {
     "field_count_check": "SELECT CAST(count(*) FILTER (len(string_split(text, ',')) <> 8) AS BIGINT) AS bad, CAST(count(*) AS BIGINT) AS total FROM documents",
     "dedup_first": "SELECT post_id, seq, source FROM (SELECT md5(text) AS post_id, doc_id AS seq, source, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS n FROM documents) WHERE n = 1",
     "conflicting_ids": "SELECT conv_id AS cid, CAST(count(DISTINCT (role, text)) AS BIGINT) AS n_versions FROM conversations GROUP BY 1 HAVING count(DISTINCT (role, text)) > 1",
-    "seed_urls": "SELECT y || '-' || lpad(CAST(m AS VARCHAR), 2, '0') || '-' || lpad(CAST(d AS VARCHAR), 2, '0') AS url FROM range(2015, 2017) a(y), range(1, 12) b(m), range(1, 31) c(d)",
+    "seed_urls": "SELECT y || lpad(CAST(m AS VARCHAR), 2, '0') || lpad(CAST(d AS VARCHAR), 2, '0') || '.html' AS url FROM range(2015, 2017) a(y), range(1, 12) b(m), range(1, 31) c(d)",
     "page_links": _RESOLVED,
     "page_links_of_domain": f"SELECT page_id, link FROM ({_RESOLVED}) WHERE regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*\\.)?example\\.com([/?#]|$)')",
     "canonical_url": "SELECT page_id, regexp_replace(url, '\\?.*', '') AS url FROM pages",

@@ -116,9 +116,9 @@ def training_texts(spark: SparkSession, path: str, limit: int = 50_000_000) -> D
     return columns.select(F.col(f"`{columns.columns[3]}`").alias("text")).limit(limit)
 
 
-def seed_urls(spark: SparkSession, prefix: str = "", suffix: str = "") -> DataFrame:
-    """(url): one archive page a day, 2015 and 2016, months 1 to 11, days 1 to 30, two digits each."""
+def seed_urls(spark: SparkSession, prefix: str = "", suffix: str = ".html") -> DataFrame:
+    """(url): one archive page a day, 2015 and 2016, months 1 to 11, days 1 to 30, as yyyymmdd."""
     year = spark.range(1).select(F.explode(F.sequence(F.lit(2015), F.lit(2016))).alias("y"))
     days = year.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(11)))).withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(30))))
     two = lambda c: F.lpad(F.col(c).cast("string"), 2, "0")
-    return days.select(F.concat(F.lit(prefix), F.col("y").cast("string"), F.lit("-"), two("m"), F.lit("-"), two("d"), F.lit(suffix)).alias("url"))
+    return days.select(F.concat(F.lit(prefix), F.col("y").cast("string"), two("m"), two("d"), F.lit(suffix)).alias("url"))

@@ -49,8 +49,8 @@ def test_query_file_and_lenient_text(spark, tmp_path):
 
 
 def test_seed_urls(spark):
-    urls = {r["url"] for r in src.seed_urls(spark, "http://x/", "/all").collect()}
-    assert len(urls) == 660 and "http://x/2015-01-01/all" in urls and not any("-12-" in u or u.endswith("-31/all") for u in urls)
+    urls = {r["url"] for r in src.seed_urls(spark, "http://x/").collect()}
+    assert len(urls) == 660 and "http://x/20150101.html" in urls and "http://x/20161130.html" in urls and not any(u[13:15] == "12" or u.endswith("31.html") for u in urls)
 
 
 def test_cleaning(spark):
@@ -69,15 +69,52 @@ def test_conflicting_ids(spark):
     assert [tuple(r) for r in src.conflicting_ids(df).collect()] == [(2, 2)]
 
 
-HTML = """<div class="comment" id="cid-7" data-parent="cid-3"><a class="author" href="http://u/profile/Ann">Ann</a>
-<span class="ordinal">#12&nbsp;of 30</span><a class="respond-to" href="#cid-5">to</a><p class="text"> one <br> two </p><span class="recommend">4</span></div>
-<div class="comment"><p class="text">alone</p></div>"""
+HTML = """<div class="comment-section__item"><a class="pager__button pager__button--next" href="/a?page=2">more</a></div>
+<div class="comment__container"><span data-url="/replies/7"></span></div>
+<article class="comment js-comment"><div class="comment-meta__name"><a href="http://u/profile/Ann">Ann</a></div>
+<a class="comment-meta__date" href="/a#cid-7">#12&nbsp;of 30</a>
+<div class="comment__body"><p> one <br> two &amp; three</p></div><span class="js-comment-recommendations">4</span>
+<div class="comment__reactions"><a class="comment__origin js-jump-to-comment" href="#cid-3">to <strong>a</strong><strong> #5 </strong></a></div></article>
+<article class="comment"><div class="comment__body">alone</div></article><article class="other">no</article>"""
 
 
 def test_comment_fields(spark):
     df = spark.createDataFrame([("http://x/a?p=1#top", HTML), ("http://x/b", None)], "url string, html string")
     rows = [tuple(r) for r in pg.comment_fields(df).collect()]
-    assert rows == [("http://x/a", "http://u/profile/Ann", "Ann", "one\ntwo", 4, "12", "5", "7", "3"), ("http://x/a", "", "", "alone", 0, "", None, None, None)]
+    assert rows == [("http://x/a", "http://u/profile/Ann", "Ann", "one\ntwo & three", 4, "12", "#5", "7", "3"), ("http://x/a", "", "", "alone", 0, "", None, None, None)]
+    assert [tuple(r)[1:] for r in pg.navigation(df).collect()] == [("/a?page=2", ["/replies/7"]), (None, [])]
+    other = spark.createDataFrame([("u", '<a class="x zb-pager__btn-rel-next" href="n">')], "url string, html string")
+    assert pg.navigation(other).first()["next_page"] == "n"
+
+
+def test_paged_threads(spark):
+    """Posts of a thread come in pages, each naming the next."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import parse_qs, urlparse
+
+    from termloom.sources import threads
+
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = parse_qs(urlparse(self.path).query)
+            n = int(q["cursor"][0].split(":")[0])
+            posts = [{"id": str(n * 10 + i), "author": {"name": 'A "x"'}, "createdAt": "t", "parent": None if i else n, "likes": i, "dislikes": 0, "raw_message": f"{q['thread'][0]} {n}"} for i in range(2)]
+            body = json.dumps({"response": [*posts, posts[0]], "cursor": {"hasNext": n < 2, "next": f"{n + 1}:0:0"}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    pages = spark.createDataFrame([("http://x/1", "5")], "url string, thread_id string")
+    got = threads.fetch(pages, f"http://127.0.0.1:{server.server_port}/?thread={{thread}}&cursor={{cursor}}", pause=0)
+    assert sorted((r["cid"], r["text"], r["parent_cid"]) for r in got.collect()) == [(0, "5 0", 0), (1, "5 0", None), (10, "5 1", 1), (11, "5 1", None), (20, "5 2", 2), (21, "5 2", None)]
+    server.shutdown()
 
 
 def test_crawl_depth(spark):
