@@ -76,17 +76,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[str], marks: list[int], weight: dict[int, float] | None = None, *, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
-    """FTRL-proximal over the texts. ``weight``: how much a text of each mark counts."""
+def examples(texts: list[str], together: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(different slots, their values) of each text; a few texts at a time, to keep memory small."""
     import pyarrow as pa
 
+    out = []
+    for at in range(0, len(texts), together):
+        data, offsets = bytewords.column_bytes(pa.array(texts[at : at + together], pa.string()))
+        slot, row, value = features(data, offsets)
+        order = np.lexsort((slot, row))
+        slot, row, value = slot[order], row[order], value[order]
+        heads = np.flatnonzero(np.concatenate([[True], (slot[1:] != slot[:-1]) | (row[1:] != row[:-1])])) if len(slot) else np.zeros(0, int)
+        slots, values = slot[heads].astype(np.int32), (np.add.reduceat(value, heads) if len(heads) else np.zeros(0)).astype(np.float32)
+        bounds = np.searchsorted(row[heads], np.arange(len(offsets)))
+        out += [(slots[a:b].copy(), values[a:b].copy()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
+
+
+def train(texts: list[str], marks: list[int], weight: dict[int, float] | None = None, *, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
+    """FTRL-proximal over the texts. ``weight``: how much a text of each mark counts."""
     if not texts:
         return Model()
-    data, offsets = bytewords.column_bytes(pa.array(texts, pa.string()))
-    slot, row, value = features(data, offsets)
-    order = np.lexsort((slot, row))
-    slot, row, value = slot[order], row[order], value[order]
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    rows = examples(texts)
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
 
@@ -97,10 +108,7 @@ def train(texts: list[str], marks: list[int], weight: dict[int, float] | None =
     shuffled = np.random.default_rng(7)
     for _ in range(epochs):
         for i in shuffled.permutation(len(texts)):
-            a, b = bounds[i], bounds[i + 1]
-            heads = np.flatnonzero(np.concatenate([[True], slot[a + 1 : b] != slot[a : b - 1]])) if b > a else np.zeros(0, int)
-            at = np.append(slot[a:b][heads], size - 1)
-            x = np.append(np.add.reduceat(value[a:b], heads) if b > a else [], 1.0)
+            at, x = np.append(rows[i][0], size - 1), np.append(rows[i][1], 1.0)
             w = active(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
             g = (p - marks[i]) * x * (weight or {}).get(marks[i], 1.0)
