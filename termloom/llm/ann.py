@@ -2,7 +2,7 @@
 
 A vector x gets one more component, sqrt(M^2 - |x|^2) with M the largest norm, and
 a query a zero; then the largest inner product is the smallest distance. Each of
-``m`` random orthonormal directions is one hash function: the block's projections on
+``m`` random directions, in orthonormal frames, is one hash function: the block's projections on
 it, sorted. A vector collides with a query in a direction if it lies in a window
 centred on the query's own projection. Windows are widened step by step for all
 directions at once (virtual rehashing; only the rings between two widths are
@@ -34,49 +34,68 @@ from pyspark.sql import functions as F
 from termloom.llm import common
 
 K = 20
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 1024
-SHARE, BETA, START, GROWTH = 0.8, 0.12, 1.25, 1.1
+#: Components of a vector block, and rows of a query block.
+VECTOR_BLOCK, QUERY_BLOCK = 1 << 21, 1024
+#: A candidate collides in ``SHARE`` of the directions; at least ``BETA`` of a block, and ``LEAST`` times k, are verified.
+SHARE, BETA, LEAST = 0.8, 0.05, 16
+#: Half widths begin at NARROW standard deviations and grow by GROWTH; after PILOTS queries they begin wider.
+NARROW, GROWTH, PILOTS = 0.3, 1.07, 8
 
 
-def directions(dim: int, seed: int = 11) -> np.ndarray:
-    """(dim + 1) x m orthonormal directions, m = dim up to 64 and as many as 64 beyond, at least 8 random ones."""
-    m = max(8, min(64, dim))
-    g = np.random.default_rng(seed).standard_normal((dim + 1, m))
-    return (np.linalg.qr(g)[0] if m <= dim + 1 else g / np.linalg.norm(g, axis=0)).astype(np.float32)
+def directions(dim: int, m: int = 64, seed: int = 11) -> np.ndarray:
+    """(dim + 1) x m directions: as many random orthonormal frames as it takes."""
+    random, frames = np.random.default_rng(seed), []
+    while sum(f.shape[1] for f in frames) < m:
+        frames.append(np.linalg.qr(random.standard_normal((dim + 1, min(m, dim + 1))))[0])
+    return np.concatenate(frames, axis=1)[:, :m].astype(np.float32)
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, largest: float, k: int = K, *, share: float = SHARE, beta: float = BETA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, vector id, score) of the best ``k`` found in the block for each query."""
+    """(query id, vector id, score) of the best ``k`` found in the block for each query.
+
+    The first queries begin with narrow windows; the others begin just below the
+    narrowest width at which one of those ended.
+    """
     n, dim = vectors.shape
     a = directions(dim)
     m = a.shape[1]
     wide = vectors.astype(np.float32)
     lift = np.sqrt(np.maximum(largest**2 - (vectors.astype(np.float64) ** 2).sum(1), 0)).astype(np.float32)
     projected = wide @ a[:dim] + lift[:, None] * a[dim]
-    order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32).copy()
+    order = np.argsort(projected, axis=0, kind="stable").T.copy()
     ordered = np.take_along_axis(projected.T, order, axis=1)
     centre = queries.astype(np.float32) @ a[:dim]
     unit = projected.std(axis=0) + 1e-9
-    allowed, need = int((1 - share) * m), min(n, int(max(beta * n, 12 * k)))
+    allowed, need = int((1 - share) * m), min(n, int(max(beta * n, LEAST * k)))
+    sides: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def window(level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the windows of this level begin and end: queries x directions."""
+        if level not in sides:
+            half = NARROW * GROWTH**level * unit
+            sides[level] = tuple(np.stack([np.searchsorted(ordered[j], centre[:, j] + s * half[j], side) for j in range(m)], axis=1) for s, side in ((-1, "left"), (1, "right")))
+        return sides[level]
+
+    def counted(low: np.ndarray, high: np.ndarray, outer_low: np.ndarray, outer_high: np.ndarray) -> np.ndarray:
+        """In how many directions each vector lies between the outer and the inner window."""
+        rings = [order[j, x:y] for j, ends in enumerate(zip(outer_low.tolist(), low.tolist(), high.tolist(), outer_high.tolist(), strict=True)) for x, y in (ends[:2], ends[2:])]
+        return np.bincount(np.concatenate(rings), minlength=n)
+
+    all_low, all_high = np.zeros(m, int), np.full(m, n)
     found: list[tuple] = []
+    begin, ended = 0, []
     for q in range(len(query_ids)):
-        width, misses = START, np.zeros(n, np.uint8)
-        low = [int(x) for x in _sides(ordered, centre[q] - width * unit, "left")]
-        high = [int(x) for x in _sides(ordered, centre[q] + width * unit, "right")]
-        for j in range(m):
-            misses[order[j, : low[j]]] += 1
-            misses[order[j, high[j] :]] += 1
-        while True:
-            near = misses <= allowed
-            if np.count_nonzero(near) >= need or not (any(low) or any(h < n for h in high)):
-                break
-            width *= GROWTH
-            new_low = [int(x) for x in _sides(ordered, centre[q] - width * unit, "left")]
-            new_high = [int(x) for x in _sides(ordered, centre[q] + width * unit, "right")]
-            for j in range(m):
-                misses[order[j, new_low[j] : low[j]]] -= 1
-                misses[order[j, high[j] : new_high[j]]] -= 1
-            low, high = new_low, new_high
+        if q == PILOTS:
+            begin = max(0, min(ended) - 1)
+        level = begin
+        low, high = (x[q] for x in window(level))
+        misses = counted(low, high, all_low, all_high)
+        while np.count_nonzero(near := misses <= allowed) < need and (low.any() or (high < n).any()):
+            level += 1
+            wider_low, wider_high = (x[q] for x in window(level))
+            misses = misses - counted(low, high, wider_low, wider_high)
+            low, high = wider_low, wider_high
+        ended.append(level)
         candidates = np.flatnonzero(near)
         candidates = candidates[ids[candidates] != query_ids[q]]
         rough = wide[candidates] @ queries[q].astype(np.float32)
@@ -88,10 +107,6 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _sides(ordered: np.ndarray, at: np.ndarray, side: str) -> Iterator[int]:
-    return (np.searchsorted(ordered[j], at[j], side=side) for j in range(len(at)))
-
-
 def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, v): the vectors that take part."""
     v = F.col("v")
@@ -127,10 +142,11 @@ def nearest(table: DataFrame, id_column: str, vector_column: str, is_query, *, k
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     stats = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(is_query(F.col("id")).cast("long")), F.lit(0)).alias("q"), F.max(norm).alias("m"), F.max(F.size("v")).alias("d")).first()
     dim, largest = stats["d"] or 1, stats["m"] or 0.0
+    block_rows = max(1024, VECTOR_BLOCK // dim)
     queries = _blocks(rows.where(is_query(F.col("id"))), stats["q"], QUERY_BLOCK, "qb").withColumnsRenamed({"ids": "q_ids", "values": "q_values"})
     n_query_blocks = max(1, -(-stats["q"] // QUERY_BLOCK))
-    cells = _blocks(rows, stats["n"], VECTOR_BLOCK, "vb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
-    cells = cells.join(queries, "qb").repartition(max(1, -(-stats["n"] // VECTOR_BLOCK)) * n_query_blocks, "vb", "qb")
+    cells = _blocks(rows, stats["n"], block_rows, "vb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))))
+    cells = cells.join(queries, "qb").repartition(max(1, -(-stats["n"] // block_rows)) * n_query_blocks, "vb", "qb")
 
     def searched(batches: Iterator) -> Iterator:
         for batch in batches:
