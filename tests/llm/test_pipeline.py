@@ -29,3 +29,15 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs_out = stage(spark, docs, SF)
         assert docs_out.count() == 0
+
+
+def test_stages_on_edge_documents(spark):
+    from test_operators import edge_documents
+
+    docs, rows = edge_documents(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, SF))
+    left = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    # no letters: 0, 1, 2, 8; a copy of 6: 7 (6 itself stands twice)
+    assert sorted(str(i) for i, _ in left) == sorted(["3", "4", "5", "6", "6", "9", "None"])
+    checked_packing(corpus_pipeline.STAGES[-1][1](spark, docs, SF), left)
