@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from termloom.llm import common
 
 GRAM = 5
-WINDOW = 256
+WINDOW = 128
 #: A run that always compresses keeps zstandard from storing a small window raw.
 LEAD = b"\n" * 48
 
@@ -55,7 +55,7 @@ class Model:
         plain, toxic = self._compressor(self.ordinary), self._compressor(self.toxic + self.ordinary)
         out = np.zeros((len(texts), 3))
         for i, text in enumerate(texts):
-            gain = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in (LEAD + text[at : at + self.window] for at in range(0, len(text), self.window))], float)
+            gain = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(text, self.window)], float)
             out[i] = gain.mean(), max(gain.max(), 0), np.sqrt((np.maximum(gain - 1, 0) ** 2).mean())
         return out
 
@@ -70,6 +70,18 @@ class Model:
         return np.column_stack([np.ones(len(gains)), gains[:, 0], np.log1p(gains[:, 1]), gains[:, 2]])
 
 
+def windows(text: bytes, size: int) -> Iterator[bytes]:
+    """The whole text in windows of at most ``size`` bytes, cut at spaces where there are some."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            end = text.rfind(b" ", at + 1, end) + 1 or end
+        # the next window begins with the space, as words in the dictionaries do
+        yield LEAD + text[at:end]
+        at = end - (end < len(text) and text[end - 1 : end] == b" " and end - 1 > at)
+
+
 def normalised(text: str | None) -> bytes:
     return b" " + b" ".join((text or "").lower().encode("utf-8", "replace").split()) + b" "
 
