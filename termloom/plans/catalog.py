@@ -190,8 +190,8 @@ def vector_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fourteen kinds of a query file, in one job."""
-    asked = ["ntea", "ntea oure estion", "'attion to'", "ntea AND oure", "the NOT ntea", "ntea*", "estion", "oure 12", "the AND oure AND ntea", "'eriner thanea'", "ntea OR 'attion to'", "'eriner thane'*", "oure NOT ntea*", "ntea AND 'attion to'"]
-    return Planner(index_of(spark, sf_dir)).search_batch(list(enumerate(asked)), 10).withColumn("rank", F.col("rank").cast("long"))
+    found = Planner(index_of(spark, sf_dir)).search_batch([(i, q) for i, (q, _) in enumerate(BATCH)], 10)
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 def english_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +258,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "english_lexicon": english_lexicon,
 }
 
+_PHRASE = _phrase_candidates(["attion", "to"], "attion to")
+_PREFIXED = "SELECT DISTINCT locator FROM post WHERE starts_with(term, 'ntea')"
+
+#: The queries of the batch and the SQL of each.
+BATCH: list[tuple[str, str]] = [
+    ("ntea", _ranked_sql(["ntea"], _docs_with("ntea"), None)),
+    ("ntea oure estion", _ranked_sql(["ntea", "oure", "estion"], _docs_with("ntea", "oure", "estion"), None)),
+    ("'attion to'", _ranked_sql(["attion", "to"], _PHRASE, None)),
+    ("ntea AND oure", _boolean_sql(f"{_docs_with('ntea')} INTERSECT {_docs_with('oure')}")),
+    ("the NOT ntea", _boolean_sql(f"{_docs_with('the')} EXCEPT {_docs_with('ntea')}")),
+    ("ntea*", _ranked_sql(["ntea"], _PREFIXED, None)),
+    ("estion", _ranked_sql(["estion"], _docs_with("estion"), None)),
+    ("oure 12", _ranked_sql(["oure", "12"], _docs_with("oure", "12"), None)),
+    ("the AND oure AND ntea", _boolean_sql(f"{_docs_with('the')} INTERSECT {_docs_with('oure')} INTERSECT {_docs_with('ntea')}")),
+    ("'eriner thanea'", _ranked_sql(["eriner", "thanea"], _phrase_candidates(["eriner", "thanea"], "eriner thanea"), None)),
+    ("ntea OR 'attion to'", _boolean_sql(f"{_docs_with('ntea')} UNION {_PHRASE}")),
+    ("'eriner thane'*", _ranked_sql(["eriner", "thane"], _phrase_candidates(["eriner"], "eriner thane"), None)),
+    ("oure NOT ntea*", _boolean_sql(f"{_docs_with('oure')} EXCEPT {_PREFIXED}")),
+    ("ntea AND 'attion to'", _boolean_sql(f"{_docs_with('ntea')} INTERSECT {_PHRASE}")),
+]
+
+
+def _batch_sql() -> str:
+    """The ten best of each query of the batch; boolean results score 0."""
+    each = [f"SELECT {i} AS query_id, cid, locator, {'score' if 'AS score' in sql else 'CAST(0 AS DOUBLE) AS score'} FROM ({sql})" for i, (_, sql) in enumerate(BATCH)]
+    return f"SELECT CAST(query_id AS BIGINT) AS query_id, rank, cid, locator, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, locator DESC) AS rank FROM ({' UNION ALL '.join(each)})) WHERE rank <= 10"
+
+
 _WIDE = "replace(replace(text, ', ', '，'), '. ', '。')"
 for _mark, _to in cleaning.FULLWIDTH.items():
     _WIDE = f"replace({_WIDE}, '{_mark}', '{_to}')"
@@ -301,6 +329,7 @@ ORACLE_SQL: dict[str, str] = {
     "canonical_url": "SELECT page_id, regexp_replace(url, '\\?.*', '') AS url FROM pages",
     "thread_ids": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN CAST(page_id AS VARCHAR) END AS thread_id FROM pages",
     "vector_nn": "WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings ORDER BY vec_id LIMIT 1) SELECT e.vec_id, round(1 - list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), q.v), 6) AS distance FROM embeddings e, q WHERE e.vec_id <> q.vec_id ORDER BY distance, e.vec_id LIMIT 5",
+    "batch_search": _batch_sql(),
     "crawl_links": f"WITH l AS (SELECT page_id, link FROM ({_RESOLVED}) WHERE regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*\\.)?example\\.com([/?#]|$)')) SELECT url, min(depth) AS depth FROM (SELECT url, 0 AS depth FROM pages UNION ALL SELECT link, 1 FROM l) GROUP BY url",
 }
 
