@@ -110,6 +110,11 @@ def read_lenient_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("value"))
 
 
+def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """(text): one document a line, in any encoding."""
+    return spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).select(F.col("value").alias("text"))
+
+
 def training_texts(spark: SparkSession, path: str, limit: int = 50_000_000) -> DataFrame:
     """(text): the fourth column of a CSV file with header, up to ``limit`` rows, as vector training takes it."""
     columns = spark.read.options(**CSV).option("header", True).csv(path)

@@ -45,6 +45,8 @@ def test_query_file_and_lenient_text(spark, tmp_path):
     (tmp_path / "q.txt").write_text("first one \n\nb AND c\n")
     assert [r["query"] for r in src.read_queries(spark, str(tmp_path / "q.txt")).orderBy("query_id").collect()] == ["first one", "b AND c"]
     (tmp_path / "bad.txt").write_bytes(b"ab\xffcd\n\nnext\n")
+    (tmp_path / "latin.txt").write_bytes("caf\xe9\n\nna\xefve\n".encode("latin-1"))
+    assert [r["text"] for r in src.read_lines(spark, str(tmp_path / "latin.txt")).collect()] == ["café", "", "naïve"]
     assert [r["value"] for r in src.read_lenient_text(spark, str(tmp_path / "bad.txt")).collect()] == ["abcd", "", "next"]
 
 
@@ -132,6 +134,16 @@ def test_word_vectors(spark, tmp_path):
     texts = spark.createDataFrame([("red green blue " * 5,), ("red yellow blue " * 5,)], "text string")
     model = vectors.train_word_vectors(texts, size=8, min_count=1, passes=1, partitions=1)
     assert len(vectors.infer(model, texts).first()["vector"]) == 8
+    from pyspark.ml.feature import Word2VecModel
+
+    model.write().save(str(tmp_path / "model"))
+    again = vectors.infer(Word2VecModel.load(str(tmp_path / "model")), texts)
+    assert again.first()["vector"] == vectors.infer(model, texts).first()["vector"]
+
+
+def test_training_texts(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b,c,d\n1,2,3,"x\ny"\n1,2,3,z\n')
+    assert [r["text"] for r in src.training_texts(spark, str(tmp_path / "t.csv"), 1).collect()] == ["x\ny"]
 
 
 def test_streaming_index(spark, tmp_path):
