@@ -45,7 +45,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     def of(base: np.uint64) -> np.ndarray:
         out = np.ones(n + 1, np.uint64)

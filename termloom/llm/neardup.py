@@ -152,7 +152,7 @@ def signatures(documents: DataFrame, *, bands: int = BANDS, rows: int = ROWS, we
     import pyarrow as pa
 
     def signed(batches: Iterator) -> Iterator:
-        for batch in common.byte_batches(batches, 2 << 20):
+        for batch in common.byte_batches(batches, 1 << 20):
             n_rows = batch.num_rows
             h, row, count = shingles(*bytewords.column_bytes(batch.column("text")))
             n = np.bincount(row, minlength=n_rows)
@@ -181,7 +181,7 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def listed(batches: Iterator) -> Iterator:
-        for batch in common.byte_batches(batches, 2 << 20):
+        for batch in common.byte_batches(batches, 1 << 20):
             h, row, _ = shingles(*bytewords.column_bytes(batch.column("text")))
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
             yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64), pa.int64()))], names=["doc_id", "set"])

@@ -24,7 +24,10 @@ like others; an empty table packs to nothing; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,62 +40,57 @@ from termloom.llm import common
 CAPACITY = 4096
 END_ID = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries kept of the word cache of a Python worker, about 200 bytes each.
-CACHED = 1_200_000
-#: Stands alone between parts that are encoded together.
-BREAK = "\x01"
+#: Entries kept of the word cache of a Python worker, about 250 bytes each.
+CACHED = 400_000
+#: How byte-level vocabularies write a byte: printable ones as they are, others as characters from 256 on.
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_LEVEL = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
+
+#: Characters up to U+023F; letters among them have one form each.
+LATIN = re.compile(rb"(?:[a-z]|[\xc3-\xc8][\x80-\xbf])+")
 
 
 class WordIds(dict):
     """Token ids, as little-endian bytes, of the white-space separated parts of texts.
 
     The tokenizer never joins across white space, so the ids of a text are those of
-    its parts. New parts of many texts are encoded in one call, with a mark between.
+    its parts. A part of lower-case letters alone is one word to the vocabulary's
+    model and goes there at once; a stop or comma after a letter is a token of its
+    own; all else goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self._ids(BREAK)
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, parts: list[bytes]) -> None:
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        ids = self._ids(f" {BREAK} ".join(texts))
-        cuts = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else []
-        if len(cuts) != len(parts) - 1:  # a part holds the mark
-            for p, t in zip(parts, texts, strict=True):
-                self[p] = self._ids(t).tobytes()
-            return
-        raw, ends = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
-        self.update(zip(parts, map(raw.__getitem__, map(slice, [0, *(4 * cuts + 4).tolist()], ends)), strict=True))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        rows = [(t or "").encode("utf-8", "replace") for t in texts]
-        # Lower-casing ASCII first halves the distinct parts; marks like <|...|> are told by case.
-        parts = [(r if b"<|" in r else r.lower()).split() for r in rows]
-        if len(self) > CACHED:
+        self.word = self.tokenizer.model.tokenize
+
+    def __missing__(self, part: bytes) -> bytes:
+        if len(self) >= CACHED:
             self.clear()
-        new = set().union(*parts).difference(self)
-        # A stop or comma at the end of a part, after a letter, is a token of its own.
-        ended = [p for p in new if p[-1:] in (b".", b",") and p[-2:-1].isalpha()]
-        new.difference_update(ended)
-        new.update({p[:-1] for p in ended}.union((b".", b",")).difference(self))
-        marked = [p for p in new if BREAK.encode() in p]
-        for group in (marked, list(new.difference(marked))):
-            if group:
-                self._learn(group)
-        self.update((p, self[p[:-1]] + self[p[-1:]]) for p in ended)
-        get = self.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        if part.isalpha() and part.islower():  # of bytes: ASCII letters
+            ids = array("I", [t.id for t in self.word(part.decode())]).tobytes()
+        elif part[-1:] in b".," and part[-2:-1].isalpha():
+            ids = self[part[:-1]] + self[part[-1:]]
+        elif LATIN.fullmatch(part) and (text := part.decode()).isalpha() and text == text.lower():
+            ids = array("I", [t.id for t in self.word(part.decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+        else:
+            ids = array("I", self.tokenizer.encode_batch_fast([part.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
+        self[part] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        raw = (text or "").encode("utf-8", "replace")
+        # Lower-casing ASCII first makes fewer distinct parts; marks like <|...|> are told by case.
+        return b"".join(map(self.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
 
 
 @lru_cache(maxsize=2)
 def _word_ids(path: str) -> WordIds:
     """One cache for all tasks of a worker process."""
+    if sys.byteorder != "little" or array("I").itemsize != 4:
+        raise RuntimeError("ids are kept as little-endian 32-bit numbers")
     return WordIds(path)
 
 
@@ -107,8 +105,8 @@ def pieces(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, en
         words, last = _word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in common.byte_batches(batches, 4 << 20):
             out: list[tuple] = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist()), strict=True):
-                ids += last
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = words.encode(text) + last
                 out += [(doc, n, at // 4, min(capacity, (len(ids) - at) // 4), zlib.crc32(ids[at : at + 4 * capacity])) for n, at in enumerate(range(0, len(ids), 4 * capacity))]
             doc, n, start, length, crc = zip(*out, strict=True)
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])

@@ -138,7 +138,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator) -> Iterator:
-        for batch in common.byte_batches(batches, 2 << 20):
+        for batch in common.byte_batches(batches, 1 << 20):
             yield pa.record_batch([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
