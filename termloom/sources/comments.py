@@ -111,8 +111,8 @@ def read_lenient_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """(text): one document a line, in any encoding."""
-    return spark.read.option("encoding", encoding).option("lineSep", "\n").text(path).select(F.col("value").alias("text"))
+    """(text): one document a line, in an encoding whose line ends are those of ASCII."""
+    return spark.read.text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("text"))
 
 
 def training_texts(spark: SparkSession, path: str, limit: int = 50_000_000) -> DataFrame:
