@@ -29,10 +29,10 @@ def tokenised(comments: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
 def postings_of(tokens: DataFrame) -> DataFrame:
     """Postings of (locator, tokens). All tokens count in lengths and positions; only terms of fitting length are indexed.
 
-    Tokens of a document meet before the shuffle (map-side aggregation), so what is
-    shuffled is postings, not tokens.
+    Documents are dealt out by locator as whole token arrays; grouping by term and
+    locator then needs no shuffle of its own.
     """
-    each = tokens.select("locator", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
+    each = tokens.repartition("locator").select("locator", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
     kept = each.where(F.length("term").between(SHORTEST, LONGEST))
     rows = kept.groupBy("term", "locator", "doc_len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     stored = F.concat(F.col("locator").cast("string"), F.lit(","), F.array_join("positions", ","))

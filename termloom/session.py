@@ -13,8 +13,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows of very long texts: batches for Python are bounded in bytes too
     "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
-    # positions are collected in hash maps; the default of 128 keys falls back to sorting at once
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 
