@@ -4,13 +4,20 @@ Two zstandard dictionaries are trained, one on ordinary text and one on toxic
 text. A window of a text is compressed with the ordinary dictionary and with the
 toxic one (which extends the ordinary one, so that the lengths differ only by
 what is toxic); the bytes gained say how toxic the window is. Windows cover the
-whole text. Mean, largest and root-mean-square gain are turned into a score by
-a logistic curve that is calibrated on labelled texts kept out of the
-dictionaries.
+whole text.
 
 Most of a toxic text is ordinary. So the toxic dictionary is trained on the
-spans of toxic training texts whose byte 5-grams are much more frequent there
-than in ordinary texts.
+spans of toxic training texts whose byte 8-grams occur much more often there than
+in ordinary texts. Languages differ in their words, and a word that is toxic in one
+may be harmless in another or too rare to stand out among all. So training
+texts are grouped by their byte pairs (spherical k-means, which separates
+languages; no other column is read), occurrences are counted within a group, and a
+text is looked at with the grams of the group it is nearest to.
+
+Mean, largest and root-mean-square gain, and the evidence (log ratios of
+occurrence, one for each marked span) in the stretch that has most of it, are
+turned into a score by a logistic curve, with terms for each group. It is calibrated on labelled texts by cross-fitting: each third
+is measured by a model of the other two.
 
 Defined cases: a null or empty text has one blank window and gets the score of
 no gain; equal texts get equal scores; without toxic or without ordinary
@@ -28,8 +35,20 @@ from pyspark.sql import functions as F
 
 from termloom.llm import common
 
-GRAM = 5
+GRAM = 8
 WINDOW = 128
+#: Byte-pair profiles have so many places; groups at first; training rows of each kind that a group has at least.
+PLACES, GROUPS, LEAST_ROWS = 4096, 12, 8
+#: Toxic texts of a group in which a marked gram stands at least (a third of them where they are few).
+LEAST_TEXTS = 5
+#: Scale of each group's constant and evidence, so that the ridge holds them near those of all groups.
+GROUP_TERMS = 0.3, 0.1
+#: Bytes of a stretch in which evidence adds up, and its bound.
+STRETCH, MOST_EVIDENCE = 512, 30.0
+#: More occurrences in ordinary texts than were seen, so that a gram of few texts does not stand out by chance.
+UNSEEN = 2
+#: Bytes of a text that are looked at in one piece.
+PIECE = 1 << 20
 #: A run that always compresses keeps zstandard from storing a small window raw.
 LEAD = b"\n" * 48
 
@@ -40,6 +59,9 @@ class Model:
     toxic: bytes = b""
     window: int = WINDOW
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    centres: np.ndarray = field(default_factory=lambda: np.zeros((1, PLACES), np.float32))
+    #: (sorted grams, log ratio of each) of each group.
+    marks: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def _compressor(self, content: bytes):
         import zstandard as zs
@@ -59,15 +81,27 @@ class Model:
             out[i] = gain.mean(), max(gain.max(), 0), np.sqrt((np.maximum(gain - 1, 0) ** 2).mean())
         return out
 
+    def evidence(self, texts: list[bytes], group: np.ndarray) -> np.ndarray:
+        """The most evidence that a stretch of each text holds."""
+        out = np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            starts, _, value = marked_spans(text, *self.marks[group[i]])
+            if len(starts):
+                sums = np.concatenate([[0], np.cumsum(value)])
+                out[i] = (sums[np.searchsorted(starts, starts + STRETCH)] - sums[:-1]).max()
+        return np.minimum(out, MOST_EVIDENCE)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.weights):
             return np.zeros(len(texts))
-        z = self._inputs(self.gains([normalised(t) for t in texts])) @ self.weights
+        z = self.inputs([normalised(t) for t in texts]) @ self.weights
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    @staticmethod
-    def _inputs(gains: np.ndarray) -> np.ndarray:
-        return np.column_stack([np.ones(len(gains)), gains[:, 0], np.log1p(gains[:, 1]), gains[:, 2]])
+    def inputs(self, texts: list[bytes]) -> np.ndarray:
+        """What the curve is over: gains, evidence, and both evidence and a constant for each group."""
+        gains, group = self.gains(texts), nearest(profiles(texts), self.centres)
+        evidence, member = self.evidence(texts, group), np.eye(len(self.centres))[group]
+        return np.column_stack([np.ones(len(gains)), gains[:, 0], np.log1p(gains[:, 1]), gains[:, 2], evidence, GROUP_TERMS[0] * member, GROUP_TERMS[1] * member * evidence[:, None]])
 
 
 def windows(text: bytes, size: int) -> Iterator[bytes]:
@@ -94,31 +128,82 @@ def _grams(text: bytes) -> np.ndarray:
     return out
 
 
-def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """In how many different texts each gram stands."""
-    each = [np.unique(_grams(t)) for t in dict.fromkeys(texts)]
-    return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, int))
-
-
-def toxic_spans(toxic: list[bytes], ordinary: list[bytes], share: float, ratio: float) -> list[bytes]:
-    """From each toxic text, its spans of grams that stand in ``share`` of the toxic texts and ``ratio`` times more often than in ordinary ones."""
-    grams, n = _frequencies(toxic)
-    often = n >= max(2, share * len(toxic))
-    grams, n = grams[often], n[often]
-    other, m = _frequencies(ordinary)
+def profiles(texts: list[bytes]) -> np.ndarray:
+    """Root frequencies of the hashed byte pairs of each text, as unit vectors."""
+    out = np.zeros((len(texts), PLACES), np.float32)
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), PIECE):
+            a = np.frombuffer(text[at : at + PIECE + 1], np.uint8).astype(np.uint32)
+            out[i] += np.bincount(((a[:-1] << 8 | a[1:]) * np.uint32(40503) >> np.uint32(4)) % PLACES, minlength=PLACES)
+    out = np.sqrt(out)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+def nearest(profile: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (profile @ centres.T).argmax(axis=1)
+
+
+def grouped(profile: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Centres of the groups. Those with few rows of a kind are given up, and their rows go to the next nearest."""
+    centres = [profile[int((profile @ profile.mean(0)).argmin())]]
+    for _ in range(GROUPS - 1):
+        centres.append(profile[int((profile @ np.array(centres).T).max(axis=1).argmin())])
+    centres = np.array(centres)
+    for _ in range(10):
+        group = nearest(profile, centres)
+        for j in np.unique(group):
+            mean = profile[group == j].mean(0)
+            centres[j] = mean / max(np.linalg.norm(mean), 1e-9)
+    while len(centres) > 1:
+        group = nearest(profile, centres)
+        rows = np.minimum(np.bincount(group[toxic], minlength=len(centres)), np.bincount(group[~toxic], minlength=len(centres)))
+        if rows.min() >= LEAST_ROWS:
+            break
+        centres = np.delete(centres, rows.argmin(), axis=0)
+    return centres
+
+
+def _frequencies(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(grams, in how many different texts each stands, how often it occurs there, all occurrences)."""
+    each = [np.unique(_grams(t), return_counts=True) for t in dict.fromkeys(texts)]
+    if not each:
+        return np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0), 0
+    grams, place, n = np.unique(np.concatenate([g for g, _ in each]), return_inverse=True, return_counts=True)
+    times = np.bincount(place, weights=np.concatenate([c for _, c in each]), minlength=len(grams))
+    return grams, n, times, int(times.sum())
+
+
+def toxic_grams(toxic: list[bytes], ordinary: list[bytes], share: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(grams, log ratios): those that stand in ``share`` of the toxic texts and occur ``ratio`` times more often than in ordinary ones."""
+    grams, n, times, total = _frequencies(toxic)
+    # near copies of one text must not make its words toxic
+    often = n >= max(2, min(LEAST_TEXTS, len(toxic) / 3), share * len(toxic))
+    grams, times = grams[often], times[often]
+    other, _, m, other_total = _frequencies(ordinary)
     there = np.zeros(len(grams))
     if len(other):
         at = np.minimum(np.searchsorted(other, grams), len(other) - 1)
         there = np.where(other[at] == grams, m[at], 0)
-    keep = grams[(n + 0.5) / (len(toxic) + 1) > ratio * (there + 0.5) / (len(ordinary) + 1)]
-    out = []
-    for text in toxic:
-        marked = np.isin(_grams(text), keep).astype(np.int8)
-        step = np.diff(np.concatenate([[0], marked, [0]]))
-        spans = [text[a : b + GRAM - 1] for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
-        if spans:
-            out.append(b"".join(spans))
-    return out
+    log_ratio = np.log(times / (total + 1)) - np.log((there + UNSEEN) / (other_total + 1))
+    keep = log_ratio > np.log(ratio)
+    return grams[keep], log_ratio[keep]
+
+
+def marked_spans(text: bytes, grams: np.ndarray, log_ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, largest log ratio) of each span of marked grams in the whole text."""
+    places, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for begin in range(0, len(text) if len(grams) else 0, PIECE):
+        found = _grams(text[begin : begin + PIECE + GRAM - 1])
+        at = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
+        hit = np.flatnonzero(grams[at] == found)
+        places.append(hit + begin)
+        values.append(log_ratio[at[hit]])
+    place, value = np.concatenate(places), np.concatenate(values)
+    if not len(place):
+        return place, place, value
+    first = np.flatnonzero(np.concatenate([[True], np.diff(place) > 1]))
+    last = np.concatenate([first[1:], [len(place)]]) - 1
+    return place[first], place[last] + GRAM, np.maximum.reduceat(value, first)
 
 
 def _dictionary(samples: list[bytes], size: int, piece: int) -> bytes:
@@ -143,19 +228,30 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], counts: tuple[int, int], *, toxic_size: int = 8192, ordinary_size: int = 1024, share: float = 0.02, ratio: float = 16.0) -> Model:
+def train(toxic: list[str], ordinary: list[str], counts: tuple[int, int], *, toxic_size: int = 8192, ordinary_size: int = 1024, share: float = 0.1, ratio: float = 16.0) -> Model:
     """A model from labelled texts. ``counts``: how many toxic and ordinary rows there are in all, for the prior."""
     if not toxic or not ordinary:
         return Model()
-    bad, good = [normalised(t) for t in toxic], [normalised(t) for t in ordinary]
-    fit = lambda x: [t for i, t in enumerate(x) if i % 3] or x
-    spans = toxic_spans(fit(bad), fit(good), share, ratio)
-    model = Model(_dictionary(fit(good), ordinary_size, WINDOW), _dictionary(spans, toxic_size, 64))
-    kept = [*bad[::3], *good[::3]]
-    y = np.array([1.0] * len(bad[::3]) + [0.0] * len(good[::3]))
-    prior = np.where(y == 1, counts[0] / max(1, y.sum()), counts[1] / max(1, (1 - y).sum()))
-    x = Model._inputs(model.gains(kept))
-    model.weights = _logistic(x, y, prior / prior.mean())
+    texts = [normalised(t) for t in [*toxic, *ordinary]]
+    bad = np.arange(len(texts)) < len(toxic)
+    profile = profiles(texts)
+    centres = grouped(profile, bad)
+    group = nearest(profile, centres)
+
+    def of(rows: np.ndarray) -> Model:
+        """A model, without weights, of some of the rows."""
+        chosen = lambda which: [texts[i] for i in np.flatnonzero(which & rows)]
+        marks = [toxic_grams(chosen(bad & (group == j)), chosen(~bad & (group == j)), share, ratio) for j in range(len(centres))]
+        spans = [b"".join(texts[i][a:b] for a, b, _ in zip(*marked_spans(texts[i], *marks[group[i]]), strict=True)) for i in np.flatnonzero(bad & rows)]
+        return Model(_dictionary(chosen(~bad), ordinary_size, WINDOW), _dictionary(spans, toxic_size, 64), centres=centres, marks=marks)
+
+    third = np.concatenate([np.arange(len(toxic)), np.arange(len(ordinary))]) % 3
+    inputs = np.zeros((len(texts), 5 + 2 * len(centres)))
+    for r in np.unique(third):
+        inputs[third == r] = of(third != r).inputs([texts[i] for i in np.flatnonzero(third == r)])
+    prior = np.where(bad, counts[0] / len(toxic), counts[1] / len(ordinary))
+    model = of(np.ones(len(texts), bool))
+    model.weights = _logistic(inputs, bad.astype(float), prior / prior.mean())
     return model
 
 

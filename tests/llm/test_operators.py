@@ -248,6 +248,16 @@ def test_held_out_accuracy(spark, name, column):
     assert sum(r[column] == r["predicted"] for r in scored) / len(scored) >= 0.95
 
 
+def test_toxic_texts_of_every_language_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    documents = common.table(spark, sf, "documents").select("doc_id", "lang")
+    scored = queries.op6_toxicity(spark, sf).where("held_out").join(common.table(spark, sf, "labels"), "doc_id").join(documents, "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        found = {y: [r["predicted"] for r in scored if r["lang"] == lang and r["toxic"] == y] for y in (0, 1)}
+        assert np.mean(found[1]) >= 0.75, lang
+        assert np.mean(found[0]) <= 0.02, lang
+
+
 def test_quality_scores_are_linear_in_ngrams():
     model = quality.train(["good words here and there", "bad !! BAD !! BAD !!"] * 10, [1, 0] * 10)
     s = model.scores(pa.array(["good words here and there", "bad !! BAD !! BAD !!", None, ""]))
