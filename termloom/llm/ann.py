@@ -98,10 +98,13 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         ended.append(level)
         candidates = np.flatnonzero(near)
         candidates = candidates[ids[candidates] != query_ids[q]]
-        rough = wide[candidates] @ queries[q].astype(np.float32)
-        if len(candidates) > 4 * k:
-            candidates = candidates[np.argpartition(-rough, 4 * k - 1)[: 4 * k]]
-        score = vectors[candidates].astype(np.float64) @ queries[q].astype(np.float64)
+        if len(candidates) > k:
+            rough = (wide @ queries[q].astype(np.float32))[candidates]
+            # what is below the k-th by more than float32 products may err can't be among the best; NaN stays
+            slack = 4 * (dim + 4) * 2.0**-24 * largest * np.linalg.norm(queries[q]) + dim * 1e-36
+            candidates = candidates[~(rough < -np.partition(-rough, k - 1)[k - 1] - slack)]
+        # row by row, as a matrix product may round equal vectors unequally, which would break ties
+        score = (vectors[candidates].astype(np.float64) * queries[q].astype(np.float64)).sum(axis=1)
         best = np.lexsort((ids[candidates], -score))[:k]
         found.append((np.full(len(best), query_ids[q]), ids[candidates[best]], score[best]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))

@@ -110,6 +110,19 @@ def test_op1_recall(spark):
     assert len(found) == len(expected) and len(found & expected) / len(expected) >= 0.9
 
 
+@pytest.mark.parametrize("copies", [300, 2000])
+def test_smallest_ids_of_equal_vectors(copies):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((6000, 64)).astype(np.float32).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    same = np.sort(rng.permutation(6000)[:copies])
+    v[same] = v[same[0]]
+    ids, asked = rng.permutation(6000) + 10, same[::50]
+    found = ann.search_block(ids, v, ids[asked], v[asked], 1.0)
+    for q in ids[asked]:
+        assert found[1][found[0] == q].tolist() == [i for i in sorted(ids[same]) if i != q][: ann.K]
+
+
 # op2
 
 
