@@ -37,7 +37,7 @@ K = 20
 #: Components of a vector block, and rows of a query block.
 VECTOR_BLOCK, QUERY_BLOCK = 1 << 21, 1024
 #: A candidate collides in ``SHARE`` of the directions; at least ``BETA`` of a block, and ``LEAST`` times k, are verified.
-SHARE, BETA, LEAST = 0.8, 0.05, 16
+SHARE, BETA, LEAST = 0.8, 0.5, 16
 #: Half widths begin at NARROW standard deviations and grow by GROWTH; after PILOTS queries they begin wider.
 NARROW, GROWTH, PILOTS = 0.3, 1.07, 8
 

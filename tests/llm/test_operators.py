@@ -123,6 +123,20 @@ def test_smallest_ids_of_equal_vectors(copies):
         assert found[1][found[0] == q].tolist() == [i for i in sorted(ids[same]) if i != q][: ann.K]
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.2, 0.5])
+def test_recall_on_uneven_norms(spread):
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((10_000, 64))
+    if spread:
+        v *= (np.exp(spread * rng.standard_normal(10_000)) / np.linalg.norm(v, axis=1))[:, None]
+    ids, asked = np.arange(10_000), rng.permutation(10_000)[:100]
+    found = ann.search_block(ids, v, asked, v[asked], np.linalg.norm(v, axis=1).max())
+    score = v[asked] @ v.T
+    score[np.arange(100), asked] = -np.inf
+    expected = {(q, i) for q, row in zip(asked, np.argsort(-score, axis=1)[:, :20], strict=True) for i in row}
+    assert len(expected & set(zip(*found[:2], strict=True))) / len(expected) >= 0.9
+
+
 # op2
 
 
