@@ -285,6 +285,20 @@ def test_toxic_texts_of_every_language_are_found(spark):
         assert np.mean(found[0]) <= 0.02, lang
 
 
+@pytest.mark.parametrize("size", [10_000, 200_000])
+def test_toxic_passages_in_long_clean_texts(spark, size):
+    documents, labels = (common.table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    model = toxicity.fit(documents, labels)
+    held = documents.where("lang = 'en'").where(common.id_remainder("doc_id", 5) == 0).join(labels, "doc_id").orderBy("doc_id").select("toxic", "text").collect()
+    clean, short = [r["text"] for r in held if r["toxic"] == 0], [r["text"] for r in held if r["toxic"] == 1 and len(r["text"]) < 2000]
+    passages = [t for t, s in zip(short, model.scores(short), strict=True) if s >= 0.5][:20]
+    rng = random.Random(2)
+    around = [" ".join(rng.choices(clean, k=size // 1000))[:size] for _ in passages]
+    mixed = [f"{t[: size // 2]} {p} {t[size // 2 :]}" for t, p in zip(around, passages, strict=True)]
+    assert len(passages) == 20 and np.mean(model.scores(mixed) >= 0.5) >= 0.8
+    assert np.mean(model.scores(around) >= 0.5) <= 0.1
+
+
 def test_quality_scores_are_linear_in_ngrams():
     model = quality.train(["good words here and there", "bad !! BAD !! BAD !!"] * 10, [1, 0] * 10)
     s = model.scores(pa.array(["good words here and there", "bad !! BAD !! BAD !!", None, ""]))
