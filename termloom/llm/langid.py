@@ -13,8 +13,11 @@ ASCII letters are lower-cased, other ASCII bytes count as a space, and each text
 is coded as if three spaces stood before it.
 
 Defined cases: null text or text without any letter gives ``und`` and score 0; a
-tie goes to the language that sorts first; without training rows everything is
-``und``; columns beside id and text are ignored.
+tie goes to the language that sorts first; rows that repeat are each told, and one
+of them is learnt from; a very long text is coded whole, in memory some 30 times its
+size; a null id is told and never learnt from; without training rows everything is
+``und``; empty tables give none; columns beside id, text and lang are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -127,7 +130,7 @@ class Model:
             return [UNDETERMINED] * n, np.zeros(n)
         padded, place, row = _padded(data, offsets)
         total = np.zeros((n, len(self.languages)))
-        step = max(1 << 16, (1 << 22) // len(self.languages))
+        step = max(1 << 14, (1 << 19) // len(self.languages))
         for at in range(0, len(place), step):
             bits = self.bits(padded, place[at : at + step])
             for k in range(len(self.languages)):
@@ -184,11 +187,11 @@ def train(texts: dict[str, list[str]]) -> Model:
 
 
 def fit(documents: DataFrame, *, per_language: int = 300, modulus: int = 4, held_remainder: int = 2) -> Model:
-    """Train on the whole texts of about ``per_language`` rows of each language, none of them held out."""
-    known = documents.where(F.col("lang").isNotNull()).where(common.id_remainder("doc_id", modulus) != held_remainder)
-    sample, counts = common.sampled_by_class(known.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), "doc_id", "lang", per_language)
+    """Train on the whole texts of at most ``per_language`` ids of each language, none of them held out."""
+    known = documents.where(F.col("lang").isNotNull()).where(common.id_remainder("doc_id", modulus) != held_remainder).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("doc_id is not null")
+    sample, counts = common.sampled_by_class(known, "lang", per_language)
     texts: dict[str, list[str]] = {k: [] for k in counts}
-    for r in sorted(sample.collect(), key=lambda r: (str(r["doc_id"]), r["lang"], r["text"] or "")):
+    for r in common.training_texts(known.join(F.broadcast(sample), ["doc_id", "lang"]), "lang"):
         if r["text"]:
             texts[r["lang"]].append(r["text"])
     return train(texts)
@@ -201,11 +204,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator) -> Iterator:
-        for batch in common.byte_batches(batches, 2 << 20):
+        for batch in common.byte_batches(batches, 1 << 19):
             named, share = shared.value.predict(batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(named, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, lang_pred string, score double")
+    return common.in_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scored, "doc_id long, lang_pred string, score double")
 
 
 def keep(documents: DataFrame, model: Model, *, least_share: float) -> DataFrame:
@@ -216,7 +219,7 @@ def keep(documents: DataFrame, model: Model, *, least_share: float) -> DataFrame
         named, share = shared.value.predict(texts)
         return (np.array(named, object) != UNDETERMINED) & (share >= least_share)
 
-    return common.kept_rows(documents, told, 2 << 20)
+    return common.kept_rows(documents, told, 1 << 19)
 
 
 def identify(documents: DataFrame, *, modulus: int = 4, held_remainder: int = 2) -> DataFrame:

@@ -12,8 +12,11 @@ Weights are trained by follow-the-regularised-leader (FTRL-proximal) updates,
 one labelled text at a time in a fixed shuffled order.
 
 Defined cases: a null or empty text has no feature and gets the score of the
-intercept; equal texts get equal scores; without training rows every score is
-0.5; columns beside id and text are ignored.
+intercept; equal texts get equal scores, and rows that repeat are each scored; a
+very long text is scored whole, in memory a few times its size; a null id is scored
+and never learnt from; of an id with several texts one is learnt, of one with
+several labels the larger; without training rows every score is 0.5; empty tables
+give none; columns beside id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -120,15 +123,14 @@ def train(texts: list[str], marks: list[int], weight: dict[int, float] | None =
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, per_class: int = 3000, modulus: int = 5, held_remainder: int = 0) -> Model:
-    """Train on about ``per_class`` labelled rows of each kind, none of them held out."""
+    """Train on at most ``per_class`` labelled rows of each kind, none of them held out."""
     kinds = labels.where(F.col("quality").isin(0, 1)).where(common.id_remainder("doc_id", modulus) != held_remainder).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    sample, counts = common.sampled_by_class(kinds, "doc_id", "quality", per_class)
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"] or ""))
+    sample, counts = common.sampled_by_class(kinds, "quality", per_class)
+    rows = common.training_texts(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"), "quality")
     kept = {k: sum(r["quality"] == k for r in rows) for k in (0, 1)}
     weight = {k: counts.get(k, 0) / max(1, kept[k]) for k in (0, 1)}
     top = max(weight.values(), default=1.0) or 1.0
-    return train([r["text"] or "" for r in rows], [r["quality"] for r in rows], {k: v / top for k, v in weight.items()})
+    return train([r["text"] for r in rows], [r["quality"] for r in rows], {k: v / top for k, v in weight.items()})
 
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
@@ -138,10 +140,10 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator) -> Iterator:
-        for batch in common.byte_batches(batches, 1 << 20):
+        for batch in common.byte_batches(batches, 1 << 19):
             yield pa.record_batch([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return common.in_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scored, "doc_id long, score double")
 
 
 def classify(documents: DataFrame, labels: DataFrame, *, threshold: float = 0.3, modulus: int = 5, held_remainder: int = 0) -> DataFrame:
