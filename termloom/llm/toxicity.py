@@ -1,14 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on toxic
-text. A window of a text is compressed with the ordinary dictionary and with the
-toxic one (which extends the ordinary one, so that the lengths differ only by
-what is toxic); the bytes gained say how toxic the window is. Windows cover the
-whole text.
-
-Most of a toxic text is ordinary. So the toxic dictionary is trained on the
-spans of toxic training texts whose byte 8-grams occur much more often there than
-in ordinary texts. Languages differ in their words, and a word that is toxic in one
+Two separate zstandard dictionaries of equal size are trained, one on ordinary and one
+on toxic texts. A window of a text is compressed with either; the bytes that the toxic
+one saves say how toxic the window is. Windows cover the whole text.
+
+Most of a toxic text is ordinary, so beside the lengths a text is looked at for
+byte 8-grams that occur much more often in toxic training texts than in ordinary ones.
+Languages differ in their words, and a word that is toxic in one
 may be harmless in another or too rare to stand out among all. So training
 texts are grouped by their byte pairs (spherical k-means, which separates
 languages; no other column is read), occurrences are counted within a group, and a
@@ -20,14 +18,18 @@ turned into a score by a logistic curve, with terms for each group. It is calibr
 is measured by a model of the other two.
 
 Defined cases: a null or empty text has one blank window and gets the score of
-no gain; equal texts get equal scores; without toxic or without ordinary
-training rows every score is 0; columns beside id and text are ignored.
+no gain; equal texts get equal scores, and rows that repeat are each scored; a very
+long text is scored whole, in memory a few times its size; a null id is scored and
+never learnt from; of an id with several texts one is learnt, of one with several
+labels the larger; without toxic or without ordinary training rows every score is 0;
+empty tables give none; columns beside id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -53,6 +55,17 @@ PIECE = 1 << 20
 LEAD = b"\n" * 48
 
 
+@lru_cache(maxsize=2)
+def _compressor(dictionary: bytes):  # noqa: ANN202
+    import zstandard as zs
+
+    size = {"hash_log": 14, "chain_log": 14, "search_log": 3, "min_match": 3, "target_length": 32, "window_log": 15}
+    how = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False, **size)
+    words = zs.ZstdCompressionDict(dictionary)
+    words.precompute_compress(compression_params=how)
+    return zs.ZstdCompressor(compression_params=how, dict_data=words)
+
+
 @dataclass
 class Model:
     ordinary: bytes = b""
@@ -63,18 +76,9 @@ class Model:
     #: (sorted grams, log ratio of each) of each group.
     marks: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
-    def _compressor(self, content: bytes):
-        import zstandard as zs
-
-        size = {"hash_log": 14, "chain_log": 14, "search_log": 3, "min_match": 3, "target_length": 32, "window_log": 15}
-        how = zs.ZstdCompressionParameters(strategy=zs.STRATEGY_BTOPT, write_content_size=False, write_checksum=False, write_dict_id=False, **size)
-        words = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
-        words.precompute_compress(compression_params=how)
-        return zs.ZstdCompressor(compression_params=how, dict_data=words)
-
     def gains(self, texts: list[bytes]) -> np.ndarray:
         """(mean, largest, root mean square) gain in bytes over the windows of each text."""
-        plain, toxic = self._compressor(self.ordinary), self._compressor(self.toxic + self.ordinary)
+        plain, toxic = _compressor(self.ordinary), _compressor(self.toxic)
         out = np.zeros((len(texts), 3))
         for i, text in enumerate(texts):
             gain = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in windows(text, self.window)], float)
@@ -206,11 +210,11 @@ def marked_spans(text: bytes, grams: np.ndarray, log_ratio: np.ndarray) -> tuple
     return place[first], place[last] + GRAM, np.maximum.reduceat(value, first)
 
 
-def _dictionary(samples: list[bytes], size: int, piece: int) -> bytes:
-    """A trained zstandard dictionary; of too little text, the text itself."""
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """A trained zstandard dictionary; of too little text to train one, the text itself."""
     import zstandard as zs
 
-    pieces = [s[i : i + piece] for s in samples for i in range(0, len(s), piece) if len(s) - i >= 8]
+    pieces = [s[i : i + WINDOW] for s in samples for i in range(0, len(s), WINDOW) if len(s) - i >= 8]
     try:
         return zs.train_dictionary(size, pieces).as_bytes()
     except zs.ZstdError:
@@ -228,7 +232,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(toxic: list[str], ordinary: list[str], counts: tuple[int, int], *, toxic_size: int = 8192, ordinary_size: int = 1024, share: float = 0.1, ratio: float = 16.0) -> Model:
+def train(toxic: list[str], ordinary: list[str], counts: tuple[int, int], *, size: int = 1 << 16, share: float = 0.1, ratio: float = 16.0) -> Model:
     """A model from labelled texts. ``counts``: how many toxic and ordinary rows there are in all, for the prior."""
     if not toxic or not ordinary:
         return Model()
@@ -242,8 +246,7 @@ def train(toxic: list[str], ordinary: list[str], counts: tuple[int, int], *, tox
         """A model, without weights, of some of the rows."""
         chosen = lambda which: [texts[i] for i in np.flatnonzero(which & rows)]
         marks = [toxic_grams(chosen(bad & (group == j)), chosen(~bad & (group == j)), share, ratio) for j in range(len(centres))]
-        spans = [b"".join(texts[i][a:b] for a, b, _ in zip(*marked_spans(texts[i], *marks[group[i]]), strict=True)) for i in np.flatnonzero(bad & rows)]
-        return Model(_dictionary(chosen(~bad), ordinary_size, WINDOW), _dictionary(spans, toxic_size, 64), centres=centres, marks=marks)
+        return Model(_dictionary(chosen(~bad), size), _dictionary(chosen(bad), size), centres=centres, marks=marks)
 
     third = np.concatenate([np.arange(len(toxic)), np.arange(len(ordinary))]) % 3
     inputs = np.zeros((len(texts), 5 + 2 * len(centres)))
@@ -256,12 +259,11 @@ def train(toxic: list[str], ordinary: list[str], counts: tuple[int, int], *, tox
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, per_class: int = 1500, modulus: int = 5, held_remainder: int = 0) -> Model:
-    """Train on about ``per_class`` labelled rows of each kind, none of them held out."""
+    """Train on at most ``per_class`` labelled rows of each kind, none of them held out."""
     kinds = labels.where(F.col("toxic").isin(0, 1)).where(common.id_remainder("doc_id", modulus) != held_remainder).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample, counts = common.sampled_by_class(kinds, "doc_id", "toxic", per_class)
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"] or ""))
-    texts = lambda kind: [r["text"] or "" for r in rows if r["toxic"] == kind]
+    sample, counts = common.sampled_by_class(kinds, "toxic", per_class)
+    rows = common.training_texts(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"), "toxic")
+    texts = lambda kind: [r["text"] for r in rows if r["toxic"] == kind]
     return train(texts(1), texts(0), (counts.get(1, 0), counts.get(0, 0)))
 
 
@@ -270,11 +272,11 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     import pyarrow as pa
 
     def scored(batches: Iterator) -> Iterator:
-        for batch in common.byte_batches(batches, 4 << 20):
+        for batch in common.byte_batches(batches, 1 << 20):
             values = model.scores(batch.column("text").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return common.in_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), scored, "doc_id long, score double")
 
 
 def keep(documents: DataFrame, model: Model, *, threshold: float = 0.5) -> DataFrame:
