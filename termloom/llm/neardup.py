@@ -7,27 +7,36 @@ strips of its weight: [0, 1), [1, 2), [2, 4) and so on. A dart falls on one of
 earliest. Equal darts come from equal shingles, so two documents agree in a
 coordinate with the probability of their weighted Jaccard similarity. Few darts are
 needed: ranks are bounded by the document's total weight, and the bound is doubled
-for a document with an empty coordinate.
-
-Signatures are cut into bands. Documents with equal shingle sets are first taken
-together. In each band bucket every member is compared with the bucket's smallest id
-only, and links give components: for most groups that is all. Buckets whose members
-are still in different components are then looked at as a whole: members are dealt
-into blocks of at most ``BLOCK``, each pair of blocks is one unit of work with the
-members' shingles, and compares what no link has joined yet. It gives a link for
-each two components that it joins, never all pairs. Components are closed over all
-links, so no class falls apart for a pair that shares a bucket.
-
-Comparisons are exact, by the shingles. Those with the smallest id first look at the
+for a document with an empty coordinate. The similarity asked for is that of sets,
+where every weight is 1; counts would lose pairs of which one repeats a passage.
+
+Equal shingle sets are first taken together: a node. Signatures are cut into bands.
+In each band bucket every node is compared with the bucket's smallest only, and
+links give components: for most groups that is all. In buckets whose nodes are still
+in different components, those outside of the bucket's largest component are
+compared with all others: both sides are dealt into blocks of bounded size, each pair
+of blocks is one unit of work with the nodes' shingles, and what no link has joined
+yet is compared. It gives a link for each two components that it joins, never all
+pairs. Components are closed over all links, so no class falls apart for a pair that
+shares a bucket.
+
+Comparisons are exact, by the shingles. Those with the smallest node first look at the
 set sizes and at a sketch (4 bits of each coordinate); a pair that agrees in less than
 ``SKETCHED`` of the coordinates is over four standard deviations from a link.
-Shingles are made for the documents concerned only; their ids are broadcast up to
-``broadcast_ids``, and beyond that the texts are shuffled once.
-
-Defined cases: texts without words are each a class of their own; a text of fewer
-than 5 words is one shingle; a class is named by its smallest doc_id; rows that
-share an id are one document; a row with a null id is in no class; an empty table
-gives an empty result; other columns are ignored.
+Shingle sets are made once, for the nodes that share a bucket.
+
+Buckets of over ``BLOCK`` nodes are few; they are broadcast (up to a checked
+number) and never bring their nodes together in one task. A centre with very many
+links is left to adaptive execution, which splits such joins.
+
+Defined cases: rows are compared one by one. In ``classes`` rows that share an id
+are one document, so their classes are one; a class is named by its smallest id, and
+one of null ids alone has none. In ``representatives`` each row is a document, and of
+a class the row with the smallest id (null last), then the smallest text hash, stays;
+of rows that repeat one stays. Texts without words are each a class of their own; a
+text of fewer than 5 words is one shingle; a very long text is taken whole, in memory
+some 50 times its size; an empty table gives an empty result; other columns are
+ignored or, in ``representatives``, kept.
 """
 
 from __future__ import annotations
@@ -46,7 +55,10 @@ BANDS, ROWS = 20, 5
 #: Least share of agreeing coordinates of a pair that is compared exactly; at a similarity of 0.8 the mean is 0.81.
 SKETCHED = 0.62
 PLANES = 4
-BLOCK = 512
+#: Nodes, and shingles, of a block of nodes that are compared at once.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Text bytes that a Python worker takes at once.
+CHUNK = 1 << 19
 _SALT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -144,15 +156,15 @@ def agreement(x: str, y: str, k: int) -> Column:
 
 
 def _texts(documents: DataFrame) -> DataFrame:
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
 
 
 def signatures(documents: DataFrame, *, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
-    """(doc_id, a, b, n, bands, sketch): a set's two hashes and size, its band keys and its sketch (none without words)."""
+    """(doc_id, text_hash, a, b, n, bands, sketch): a set's two hashes and size, its band keys and its sketch (none without words)."""
     import pyarrow as pa
 
     def signed(batches: Iterator) -> Iterator:
-        for batch in common.byte_batches(batches, 1 << 20):
+        for batch in common.byte_batches(batches, CHUNK):
             n_rows = batch.num_rows
             h, row, count = shingles(*bytewords.column_bytes(batch.column("text")))
             n = np.bincount(row, minlength=n_rows)
@@ -163,9 +175,9 @@ def signatures(documents: DataFrame, *, bands: int = BANDS, rows: int = ROWS, we
                 np.add.at(b, row, bytewords.mixed(once ^ _SALT))
             s = dart_signatures(h, row, count.astype(float) if weighted else np.ones(len(h)), n_rows, bands * rows)
             lists = [_lists(band_keys(s, bands, rows), n > 0), _lists(sketches(s), n > 0)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n, pa.int64()), *lists], names=["doc_id", "a", "b", "n", "bands", "sketch"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n, pa.int64()), *lists], names=["doc_id", "text_hash", "a", "b", "n", "bands", "sketch"])
 
-    return _texts(documents).mapInArrow(signed, "doc_id long, a long, b long, n long, bands array<long>, sketch array<long>")
+    return common.in_arrow(_texts(documents), signed, "doc_id long, text_hash long, a long, b long, n long, bands array<long>, sketch array<long>")
 
 
 def _lists(values: np.ndarray, there: np.ndarray):
@@ -176,115 +188,161 @@ def _lists(values: np.ndarray, there: np.ndarray):
     return pa.ListArray.from_arrays(ends, pa.array(values[there].reshape(-1), pa.int64()))
 
 
-def shingle_sets(documents: DataFrame) -> DataFrame:
-    """(doc_id, set): the sorted different shingle hashes."""
+def sets_of(nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node, set): the sorted different shingle hashes of the nodes (node, id, hash), read from one row of each; a stored table."""
     import pyarrow as pa
 
     def listed(batches: Iterator) -> Iterator:
-        for batch in common.byte_batches(batches, 1 << 20):
+        for batch in common.byte_batches(batches, CHUNK):
             h, row, _ = shingles(*bytewords.column_bytes(batch.column("text")))
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
-            yield pa.record_batch([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64), pa.int64()))], names=["doc_id", "set"])
+            yield pa.record_batch([batch.column("node"), pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64), pa.int64()))], names=["node", "set"])
 
-    return _texts(documents).mapInArrow(listed, "doc_id long, set array<long>")
+    texts, wanted = _texts(documents), common.bounded(nodes)
+    chosen = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["id"]) & (texts["text_hash"] == wanted["hash"])).select("node", "text")
+    # a row may repeat
+    return common.stored_few(common.in_arrow(chosen, listed, "node long, set array<long>").dropDuplicates(["node"]), nodes.count(), 5000)
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (x, y) with their exact Jaccard ``similarity``."""
-    x, y = sets.select(F.col("doc_id").alias("x"), F.col("set").alias("sx")), sets.select(F.col("doc_id").alias("y"), F.col("set").alias("sy"))
+    x, y = sets.select(F.col("node").alias("x"), F.col("set").alias("sx")), sets.select(F.col("node").alias("y"), F.col("set").alias("sy"))
     shared = F.size(F.array_intersect("sx", "sy"))
     return pairs.join(y, "y").join(x, "x").select("x", "y", (shared / (F.size("sx") + F.size("sy") - shared)).alias("similarity"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): each node of the edges (x, y) with the smallest node of its component.
+def on_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` joined with the stored table ``keys`` (key, members, ...) by ``key``; keys of many members are broadcast, so that none fills a task."""
+    hot = common.bounded(common.stored_few(keys.where(F.col("members") > BLOCK), keys.count()))
+    return rows.join(hot, "key").unionByName(rows.join(hot.select("key"), "key", "left_anti").join(keys.where(F.col("members") <= BLOCK), "key"))
+
+
+def components(edges: DataFrame, nodes: int) -> DataFrame:
+    """(node, root): each node of the edges (x, y) with the smallest node of its component. There are ``nodes`` nodes at most.
 
     Alternates large-star and small-star steps; each writes its edges to the shared
     folder, and the count and hash sum tell when nothing changes.
     """
-    edges = common.stored(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
-    before = None
+    edges = common.stored_few(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), BANDS * nodes)
+    before, rows = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        large = common.stored(large)
+        large = common.stored_few(large, rows)
         least = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(least, "x")
         small = small.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y"))).distinct()
-        edges = common.stored(small)
+        edges = common.stored_few(small, rows)  # a star step never makes more edges
         now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("x", "y")).alias("h")).first()
         if now == before:
             return edges.select(F.col("x").alias("node"), F.col("y").alias("root"))
-        before = now
-
-
-def sets_of(ids: DataFrame, documents: DataFrame, broadcast_ids: int = common.BROADCAST_IDS) -> DataFrame:
-    """(doc_id, set) of the documents whose ids are named (column doc_id)."""
-    involved = common.stored(ids.distinct())
-    chosen = _texts(documents).where("doc_id is not null").join(common.bounded(involved, broadcast_ids), "doc_id", "left_semi")
-    return common.stored(shingle_sets(chosen).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("set"))).alias("set")))
-
-
-def joined_components(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
-    """Links of similar members that join all components which such links join; members of the largest are not compared with each other."""
-    _, group = np.unique(root, return_inverse=True)
-    flat, sizes = np.concatenate(sets), np.array([len(x) for x in sets])
-    _, element = np.unique(flat, return_inverse=True)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        before, rows = now, now["n"]
+
+
+def joined_components(minor: list[tuple[int, int, np.ndarray]], every: list[tuple[int, int, np.ndarray]], threshold: float) -> list[tuple[int, int]]:
+    """Links between ``minor`` and ``every`` (node, root, set) that join all components which similar sets of the two join."""
+    node, root, sets = (list(x) for x in zip(*minor, *every, strict=True))
+    _, group = np.unique(np.array(root), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    first = len(minor)
+    others, other_starts, other_sizes = element[starts[first] :], starts[first:-1] - starts[first], sizes[first:]
     marked = np.zeros(element.max() + 1, bool)
     found = []
-    for v in np.flatnonzero(group != np.bincount(group).argmax()):
-        mine = element[starts[v] : starts[v] + sizes[v]]
+    for v in range(first):
+        mine = element[starts[v] : starts[v + 1]]
         marked[mine] = True
-        shared = np.add.reduceat(marked[element], starts, dtype=np.int64)
+        shared = np.add.reduceat(marked[others], other_starts, dtype=np.int64)
         marked[mine] = False
-        for u in np.flatnonzero((shared >= threshold * (sizes + sizes[v] - shared)) & (group != group[v])):
+        for u in np.flatnonzero((shared >= threshold * (other_sizes + sizes[v] - shared)) & (group[first:] != group[v])) + first:
             if group[u] != group[v]:
                 found.append((int(node[v]), int(node[u])))
                 group[group == group[u]] = group[v]
     return found
 
 
-def links_across(mixed: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
-    """Links (x, y) between components within buckets (key, node, root)."""
+def links_across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (x, y) between components within buckets; ``members`` (key, node, n, root) is a stored table."""
     import pyarrow as pa
 
-    sizes = mixed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = mixed.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "root")
-    sets = sets_of(mixed.select(F.col("node").alias("doc_id")), documents)
-    whole = cells.join(sets.withColumnRenamed("doc_id", "node"), "node")
+    of_root = members.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    major = F.max(F.struct("c", "root", "n"))
+    keys = of_root.groupBy("key").agg(F.sum("c").alias("members"), F.sum("n").alias("shingles"), F.count("*").alias("roots"), major.alias("major")).where("roots > 1")
+    blocks = lambda c, n: F.ceil(F.greatest(c / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    keys = common.stored_few(keys.select("key", "members", F.col("major.root").alias("major"), blocks(F.col("members") - F.col("major.c"), F.col("shingles") - F.col("major.n")).alias("minor_blocks"), blocks(F.col("members"), F.col("shingles")).alias("all_blocks")), members.count())
+    mixed = common.stored_few(on_keys(members, keys), members.count())
+
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    minor = mixed.where("root <> major").select("key", place("minor_blocks").alias("i"), numbers("all_blocks").alias("j"), "node", "root", F.lit(True).alias("minor"))
+    every = mixed.select("key", numbers("minor_blocks").alias("i"), place("all_blocks").alias("j"), "node", "root", F.lit(False).alias("minor"))
+    whole = minor.unionByName(every).join(sets, "node")
 
     def compared(table: pa.Table) -> pa.Table:
-        node, root = table.column("node").to_numpy(), table.column("root").to_numpy()
-        found = joined_components(node, root, table.column("set").to_numpy(), threshold)
+        rows = list(zip(table.column("node").to_pylist(), table.column("root").to_pylist(), table.column("set").to_numpy(), strict=True))
+        is_minor = table.column("minor").to_pylist()
+        minor, every = ([r for r, m in zip(rows, is_minor, strict=True) if m == kind] for kind in (True, False))
+        found = joined_components(minor, every, threshold) if minor and every else []
         return pa.table({"x": pa.array([x for x, _ in found], pa.int64()), "y": pa.array([y for _, y in found], pa.int64())})
 
     return common.stored(whole.groupBy("key", "i", "j").applyInArrow(compared, "x long, y long").distinct())
 
 
-def classes(documents: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id) of each document."""
+def _components_of(documents: DataFrame, threshold: float, bands: int, rows: int, unite: bool) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: the signed rows, and the nodes (a, b, id, hash, root); id and hash are of the first row. ``unite``: rows of one id are linked."""
     signed = common.stored(signatures(documents, bands=bands, rows=rows))
-    whole = signed.where("n > 0 and doc_id is not null")
-    texts = common.stored(whole.groupBy("a", "b").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    x, y = (texts.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "xy")
+    worded = signed.where("n > 0")
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("one")
+    nodes = worded.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), one)
+    # the numbers are fixed once the table is written
+    nodes = common.stored(nodes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "n", "bands", "sketch", F.col("one.doc_id").alias("id"), F.col("one.text_hash").alias("hash")))
+    x, y = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "xy")
     alike = (F.least("nx", "ny") >= F.greatest("nx", "ny") * threshold - 1e-6) & (agreement("sx", "sy", bands * rows) >= SKETCHED)
 
-    placed = texts.select("node", F.explode("bands").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center <> last").select("key", "center")
-    members = common.stored(placed.join(shared, "key").select("key", "node", "center"))
+    count = nodes.count()
+    placed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    shared = common.stored_few(placed.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("members")).where("members > 1"), bands * count // 2)
+    members = common.stored_few(on_keys(placed, shared).select("key", "node", "n", "center"), bands * count)
+    known = common.stored_few(nodes.select("node", "id", "hash").join(members.select("node").distinct(), "node", "left_semi"), count)
+    sets = sets_of(known, documents)
     stars = members.where("node <> center").select(F.col("center").alias("x"), F.col("node").alias("y")).distinct()
-    stars = common.stored(stars.join(y, "y").join(x, "x").where(alike).select("x", "y").distinct())
-    sets = sets_of(stars.select(F.explode(F.array("x", "y")).alias("doc_id")), documents)
-    first = components(similar(stars, sets).where(F.col("similarity") >= threshold).select("x", "y"))
+    stars = stars.join(y, "y").join(x, "x").where(alike).select("x", "y")
+    first = components(similar(stars, sets).where(F.col("similarity") >= threshold).select("x", "y"), count)
+
+    rooted = common.stored_few(members.join(first, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), bands * count)
+    more = links_across(rooted, sets, threshold)
+    if unite:
+        sets_of_id = worded.where("doc_id is not null").groupBy("doc_id").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+        several = common.stored_few(sets_of_id.where("a0 <> a1 or b0 <> b1").select("doc_id"), count)
+        if not several.isEmpty():
+            of_id = worded.join(common.bounded(several), "doc_id").select("doc_id", "a", "b").distinct().join(nodes, ["a", "b"]).select("doc_id", "node")
+            hub = of_id.groupBy("doc_id").agg(F.min("node").alias("x"))
+            more = more.unionByName(of_id.join(hub, "doc_id").select("x", F.col("node").alias("y")))
+    root = components(first.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more), count)
+    return signed, common.stored_few(nodes.join(root, "node", "left").select("a", "b", "id", "hash", F.coalesce("root", "node").alias("root")), count)
 
-    rooted = common.stored(members.join(first, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    split = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    mixed = common.stored(rooted.join(split, "key", "left_semi").distinct())
-    more = links_across(mixed, documents, threshold)
-    root = components(first.select(F.col("node").alias("x"), F.col("root").alias("y")).unionByName(more))
 
-    named = texts.select("a", "b", "node").join(root, "node", "left").select("a", "b", F.coalesce("root", "node").alias("class_id"))
+def classes(documents: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id) of each row of ``documents``."""
+    signed, nodes = _components_of(documents, threshold, bands, rows, True)
+    name = nodes.groupBy("root").agg(F.min("id").alias("class_id"))
+    named = nodes.select("a", "b", "root").join(name, "root").select("a", "b", "class_id")
     return signed.select("doc_id", "a", "b", "n").join(named, ["a", "b"], "left").select("doc_id", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def representatives(documents: DataFrame, *, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of ``documents``, with all their columns, of which one of each class stays."""
+    signed, nodes = _components_of(documents, threshold, bands, rows, False)
+    best = nodes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "hash")).alias("best")).select("root", F.col("best.id").alias("best_id"), F.col("best.hash").alias("best_hash"))
+    told = nodes.select("a", "b", "root").join(best, "root")
+    is_best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash"))
+    rows_told = signed.where("n > 0").select("doc_id", "text_hash", "a", "b").join(told, ["a", "b"]).select("doc_id", "text_hash", is_best.alias("is_best"))
+    per = common.stored_few(rows_told.groupBy("doc_id", "text_hash").agg(F.first("is_best").alias("is_best"), F.count("*").alias("copies")).where("copies > 1 or not is_best"), signed.count())
+    rest = common.without(documents, per)
+    again = common.stored(per.where("is_best").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
+    if again.isEmpty():
+        return rest
+    twice = documents.join(common.bounded(again), documents["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (common.text_hash() == F.col("_hash")))
+    return rest.unionByName(twice.dropDuplicates(["_id", "_hash"]).select(documents.columns))
