@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: collision-counting hashing.
 
-A vector x gets one more component, sqrt(M^2 - |x|^2) with M the largest norm, and
-a query a zero; then the largest inner product is the smallest distance. Each of
+A vector x gets one more component, sqrt(M^2 - |x|^2) with M a bound on the norms, and
+a query a zero; then the largest inner product is the smallest distance. M is the norm
+that few vectors (``TAIL``) exceed; these are verified for every query. Each of
 ``m`` random directions, in orthonormal frames, is one hash function: the block's projections on
 it, sorted. A vector collides with a query in a direction if it lies in a window
 centred on the query's own projection. Windows are widened step by step for all
@@ -18,7 +19,7 @@ so nothing is fitted and every vector is indexed.
 Defined cases: vectors that are null, all zero, or hold null, NaN or infinite
 components take no part, nor do vectors of another dimension than the most common
 one (of equally common ones the smaller); rows that share an id and repeat count
-once, of different vectors the first in byte order; ties go to the smaller id; fewer
+once, of different vectors the first by components; ties go to the smaller id; fewer
 candidates than ``k`` give fewer rows; empty tables give none; other columns are
 ignored.
 """
@@ -38,6 +39,8 @@ K = 20
 VECTOR_BLOCK, QUERY_BLOCK = 1 << 21, 1024
 #: A candidate collides in ``SHARE`` of the directions; at least ``BETA`` of a block, and ``LEAST`` times k, are verified.
 SHARE, BETA, LEAST = 0.8, 0.5, 16
+#: Share of a block, the longest vectors, that is ranked exactly for every query.
+TAIL = 0.05
 #: Half widths begin at NARROW standard deviations and grow by GROWTH; after PILOTS queries they begin wider.
 NARROW, GROWTH, PILOTS = 0.3, 1.07, 8
 
@@ -60,7 +63,11 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     a = directions(dim)
     m = a.shape[1]
     wide = vectors.astype(np.float32)
-    lift = np.sqrt(np.maximum(largest**2 - (vectors.astype(np.float64) ** 2).sum(1), 0)).astype(np.float32)
+    squares = (vectors.astype(np.float64) ** 2).sum(1)
+    # a few very long vectors would make all others look alike: these are candidates of every query
+    bound = np.quantile(squares, 1 - TAIL)
+    always = squares > bound
+    lift = np.sqrt(np.maximum(bound - squares, 0)).astype(np.float32)
     projected = wide @ a[:dim] + lift[:, None] * a[dim]
     order = np.argsort(projected, axis=0, kind="stable").T.copy()
     ordered = np.take_along_axis(projected.T, order, axis=1)
@@ -96,15 +103,17 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             misses = misses - counted(low, high, wider_low, wider_high)
             low, high = wider_low, wider_high
         ended.append(level)
-        candidates = np.flatnonzero(near)
+        candidates = np.flatnonzero(near | always)
         candidates = candidates[ids[candidates] != query_ids[q]]
         if len(candidates) > k:
             rough = (wide @ queries[q].astype(np.float32))[candidates]
             # what is below the k-th by more than float32 products may err can't be among the best; NaN stays
             slack = 4 * (dim + 4) * 2.0**-24 * largest * np.linalg.norm(queries[q]) + dim * 1e-36
             candidates = candidates[~(rough < -np.partition(-rough, k - 1)[k - 1] - slack)]
-        # row by row, as a matrix product may round equal vectors unequally, which would break ties
-        score = (vectors[candidates].astype(np.float64) * queries[q].astype(np.float64)).sum(axis=1)
+        # component by component, as a matrix product may round equal vectors unequally, which would break ties
+        score = np.zeros(len(candidates))
+        for j in range(dim):
+            score += vectors[candidates, j].astype(np.float64) * float(queries[q, j])
         best = np.lexsort((ids[candidates], -score))[:k]
         found.append((np.full(len(best), query_ids[q]), ids[candidates[best]], score[best]))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -116,7 +125,13 @@ def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
     size = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (size[0]["d"] if size else 0))
+    rows = rows.where(F.size("v") == (size[0]["d"] if size else 0))
+    again = common.stored(rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if again.isEmpty():
+        return rows
+    some = common.bounded(again)
+    # one vector of each id, taken within the input partitions first, so that an id of many rows meets in no task
+    return rows.join(some, "id", "left_anti").unionByName(rows.join(some, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")))
 
 
 def _blocks(rows: DataFrame, count: int, size: int, name: str) -> DataFrame:
@@ -128,10 +143,8 @@ def _blocks(rows: DataFrame, count: int, size: int, name: str) -> DataFrame:
     def packed(whole: pa.Table) -> pa.Table:
         ids = whole.column("id").to_numpy()
         values = np.stack(whole.column("v").to_numpy()).astype(np.float64)
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], values[i].tobytes()))
-        ids, values = ids[order], values[order]
-        once = np.concatenate([[True], ids[1:] != ids[:-1]])
-        return pa.table({name: whole.column(name)[:1].cast(pa.int32()), "ids": pa.array([ids[once].tobytes()], pa.binary()), "values": pa.array([values[once].tobytes()], pa.binary())})
+        order = np.argsort(ids)
+        return pa.table({name: whole.column(name)[:1].cast(pa.int32()), "ids": pa.array([ids[order].tobytes()], pa.binary()), "values": pa.array([values[order].tobytes()], pa.binary())})
 
     dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     return dealt.groupBy(name).applyInArrow(packed, f"{name} int, ids binary, values binary")
