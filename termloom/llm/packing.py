@@ -41,7 +41,7 @@ CAPACITY = 4096
 END_ID = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Entries kept of the word cache of a Python worker, about 250 bytes each.
-CACHED = 400_000
+CACHED = 100_000
 #: How byte-level vocabularies write a byte: printable ones as they are, others as characters from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 BYTE_LEVEL = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
@@ -103,7 +103,7 @@ def pieces(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, en
 
     def cut(batches: Iterator) -> Iterator:
         words, last = _word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in common.byte_batches(batches, 4 << 20):
+        for batch in common.byte_batches(batches, 1 << 20):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = words.encode(text) + last
@@ -111,7 +111,7 @@ def pieces(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, en
             doc, n, start, length, crc = zip(*out, strict=True)
             yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(n, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE)
+    return common.in_arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, PIECE)
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
@@ -273,6 +273,7 @@ def ranked(cut: DataFrame, rows_per_bucket: int = 50_000) -> DataFrame:
     per = dealt.groupBy("bucket", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = per.select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # the order among pieces of a length is free, but the same in each run
     inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32")
     return dealt.withColumn("r", F.row_number().over(inside) - 1).join(bases, ["bucket", "length"]).withColumn("rank", F.col("base") + F.col("r")).drop("bucket", "base", "r")
 
@@ -299,4 +300,4 @@ def pack(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.record_batch([*columns, pa.array(runs[at, 3] + nth // copies), pa.array(runs[at, 4] + nth % copies * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(placed, f"{PIECE}, sequence_id long, offset long")
+    return common.in_arrow(ranked(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "rank"), placed, f"{PIECE}, sequence_id long, offset long")
