@@ -105,4 +105,38 @@ SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_chat_format": _OP2, "op7_url_filter": _OP7, "op8_decontaminate": _OP8}
+_TEMPLATES = ", ".join("('{}', '{}', {}, {}, {}, '{}', '{}')".format(*row) for row in licenses.places())
+
+_OP10 = f"""
+WITH template(phrase, label, is_base, n, t, w1, w2) AS (VALUES {_TEMPLATES}),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT r, p, w[p + 1] AS w1, w[p + 2] AS w2 FROM (SELECT r, w, unnest(generate_series(0, len(w) - 2)) AS p FROM d WHERE len(w) >= 2)),
+voted AS (SELECT r, phrase, label, is_base, n, p - t AS diagonal, t FROM g JOIN template USING (w1, w2)),
+banded AS (SELECT r, phrase, label, is_base, n, t, unnest(generate_series(diagonal - CASE WHEN is_base THEN 0 ELSE {licenses.DRIFT} + n // 8 END, diagonal)) AS band FROM voted),
+found AS (SELECT r, label, is_base, band, count(DISTINCT t) / n AS cover FROM banded GROUP BY r, phrase, label, is_base, n, band HAVING count(DISTINCT t) / n >= CASE WHEN is_base THEN 1.0 ELSE {licenses.COVER} END)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(any_value(len(w)) AS BIGINT) AS n_words, count(*) FILTER (is_base) AS n_base,
+  CAST(min(band) FILTER (is_base) AS BIGINT) AS first_word, CAST(max(band) FILTER (is_base) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(cover), 0.0) AS score
+FROM d LEFT JOIN found USING (r) GROUP BY r, doc_id
+"""
+
+_OP9 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT r, w[i:i + 4] AS g FROM (SELECT r, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+shared AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+link AS (SELECT x, y FROM shared JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE c >= 0.8 * (p.n + q.n - c)
+  UNION SELECT a.r, b.r FROM d a JOIN d b ON a.doc_id = b.doc_id AND a.r <> b.r WHERE len(a.w) > 0 AND len(b.w) > 0),
+reached(r, z) AS (SELECT r, r FROM d UNION SELECT reached.r, link.y FROM reached JOIN link ON link.x = reached.z)
+SELECT CAST(any_value(d.doc_id) AS BIGINT) AS doc_id, CAST(min(e.doc_id) AS BIGINT) AS class_id FROM reached JOIN d ON d.r = reached.r JOIN d e ON e.r = reached.z GROUP BY reached.r
+"""
+
+_OP1 = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM p)
+SELECT CAST(query_id AS BIGINT) AS query_id, CAST(k AS INTEGER) AS rank, CAST(vec_id AS BIGINT) AS vec_id, score FROM o WHERE k <= 20
+"""
+
+ORACLE_SQL = {"op1_nearest_vectors": _OP1, "op2_chat_format": _OP2, "op7_url_filter": _OP7, "op8_decontaminate": _OP8, "op9_near_duplicates": _OP9, "op10_license_scan": _OP10}
