@@ -3,6 +3,15 @@
 Each stage is a function of (spark, docs, sf_dir) that works on all that its
 predecessor kept. All but the last return the columns of ``documents``; the last
 returns the packing plan of the documents that are left.
+
+Each row is a document of its own, also where ids repeat or are null: every stage
+decides on a row by its text, and what it decides holds for rows with a null id too.
+A null or empty text passes the toxicity stage, is dropped by the language stage, as
+it holds no letter, and would pass the later ones. Rows that repeat with id and text
+are told alike; the near-duplicate stage keeps one of them. Very long texts are taken
+whole. Empty tables give empty results. Columns beside doc_id, text and lang are
+handed on and never looked at, whatever their names; names that begin with an
+underscore are kept for the stages' own use.
 """
 
 from __future__ import annotations
@@ -12,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm import decontam, langid, neardup, packing, toxicity
-from termloom.llm.common import stored, table, without
+from termloom.llm.common import stored, table
 from termloom.llm.queries import tokenizer_path
 
 #: A language prediction below this share of the posterior is rejected.
@@ -30,13 +39,13 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document that names it."""
-    return without(docs, neardup.classes(docs).where("doc_id <> class_id"))
+    """Of each near-duplicate class one row: that with the smallest id."""
+    return neardup.representatives(docs)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a window of any benchmark item."""
-    return without(docs, decontam.report(docs, table(spark, sf_dir, "benchmark"), min_items=1).where("contaminated"))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
