@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom import schema
+from termloom.storage import stored
 
 #: Doubled quotes, records over several lines, blank lines inside quotes.
 CSV = {"quote": '"', "escape": '"', "multiLine": "true", "encoding": "UTF-8"}
@@ -75,7 +76,8 @@ def dense_ids(df: DataFrame, column: str, id_name: str) -> DataFrame:
     """
     from pyspark.sql import Window
 
-    values = df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).select(column, F.spark_partition_id().alias("part"))
+    # stored, as both uses must see the same partitions
+    values = stored(df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).select(column, F.spark_partition_id().alias("part")))
     inside = values.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(column)))
     sizes = values.groupBy("part").agg(F.count("*").alias("size"))
     bases = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
