@@ -40,7 +40,7 @@ from termloom.llm import common
 CAPACITY = 4096
 END_ID = 1
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Entries kept of the word cache of a Python worker, about 250 bytes each.
+#: Entries kept of the word cache of a Python worker, about 250 bytes each, where a caller names no other number.
 CACHED = 100_000
 #: How byte-level vocabularies write a byte: printable ones as they are, others as characters from 256 on.
 _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -60,14 +60,15 @@ class WordIds(dict):
     own; all else goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.word = self.tokenizer.model.tokenize
+        self.cached = cached
 
     def __missing__(self, part: bytes) -> bytes:
-        if len(self) >= CACHED:
+        if len(self) >= self.cached:
             self.clear()
         if part.isalpha() and part.islower():  # of bytes: ASCII letters
             ids = array("I", [t.id for t in self.word(part.decode())]).tobytes()
@@ -87,14 +88,14 @@ class WordIds(dict):
 
 
 @lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
+def _word_ids(path: str, cached: int) -> WordIds:
     """One cache for all tasks of a worker process."""
     if sys.byteorder != "little" or array("I").itemsize != 4:
         raise RuntimeError("ids are kept as little-endian 32-bit numbers")
-    return WordIds(path)
+    return WordIds(path, cached)
 
 
-def pieces(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each document's ids and end id, cut at ``capacity``.
 
     ``tokenizer`` is the path of a vocabulary file that every executor has.
@@ -102,7 +103,7 @@ def pieces(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, en
     import pyarrow as pa
 
     def cut(batches: Iterator) -> Iterator:
-        words, last = _word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        words, last = _word_ids(tokenizer, cached), np.array([end_id], "<u4").tobytes()
         for batch in common.byte_batches(batches, 1 << 20):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -278,11 +279,14 @@ def ranked(cut: DataFrame, rows_per_bucket: int = 50_000) -> DataFrame:
     return dealt.withColumn("r", F.row_number().over(inside) - 1).join(bases, ["bucket", "length"]).withColumn("rank", F.col("base") + F.col("r")).drop("bucket", "base", "r")
 
 
-def pack(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece."""
+def pack(documents: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of each piece.
+
+    ``cached`` bounds the word cache of a Python worker; it changes time and memory alone.
+    """
     import pyarrow as pa
 
-    cut = common.stored(pieces(documents, tokenizer, capacity=capacity, end_id=end_id))
+    cut = common.stored(pieces(documents, tokenizer, capacity=capacity, end_id=end_id, cached=cached))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     runs = np.array(sorted(plan(histogram, capacity)), np.int64).reshape(-1, 6)
     # one number orders runs by length and first rank
