@@ -24,6 +24,7 @@ like others; an empty table packs to nothing; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import sys
 import zlib
@@ -47,6 +48,11 @@ _SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
 BYTE_LEVEL = {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
+#: Fixed value: the rule by which the vocabulary file divides texts into parts that it never joins.
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same for lower-case ASCII: words, digits and runs of marks.
+ASCII_UNITS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^a-z0-9]+")
+VISIBLE = re.compile(rb"[!-~]+")
 #: Characters up to U+023F; letters among them have one form each.
 LATIN = re.compile(rb"(?:[a-z]|[\xc3-\xc8][\x80-\xbf])+")
 
@@ -57,7 +63,11 @@ class WordIds(dict):
     The tokenizer never joins across white space, so the ids of a text are those of
     its parts. A part of lower-case letters alone is one word to the vocabulary's
     model and goes there at once; a stop or comma after a letter is a token of its
+    own; other ASCII parts are divided into words, digits and marks, each kept on its
     own; all else goes through the whole tokenizer.
+
+    Parts are kept in two halves: when the newer is full it becomes the older, whose
+    parts come back as they are met, so frequent parts stay.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
@@ -65,24 +75,40 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.word = self.tokenizer.model.tokenize
-        self.cached = cached
+        says = json.loads(self.tokenizer.to_str())
+        rules, forms = (json.dumps(says[k], ensure_ascii=False) for k in ("pre_tokenizer", "normalizer"))
+        #: Texts of vocabularies of other rules go through the tokenizer whole.
+        self.by_parts = json.dumps(RULE, ensure_ascii=False) in rules and '"Lowercase"' in forms
+        self.half = max(1, cached // 2)
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, part: bytes) -> bytes:
-        if len(self) >= self.cached:
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.ids_of(part)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        if part.isalpha() and part.islower():  # of bytes: ASCII letters
-            ids = array("I", [t.id for t in self.word(part.decode())]).tobytes()
-        elif part[-1:] in b".," and part[-2:-1].isalpha():
-            ids = self[part[:-1]] + self[part[-1:]]
-        elif LATIN.fullmatch(part) and (text := part.decode()).isalpha() and text == text.lower():
-            ids = array("I", [t.id for t in self.word(part.decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
-        else:
-            ids = array("I", self.tokenizer.encode_batch_fast([part.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
         self[part] = ids
         return ids
 
+    def ids_of(self, part: bytes) -> bytes:
+        if part.isalpha() and part.islower():  # of bytes: ASCII letters
+            return array("I", [t.id for t in self.word(part.decode())]).tobytes()
+        if part[-1:] in b".," and part[-2:-1].isalpha():
+            return self[part[:-1]] + self[part[-1:]]
+        if LATIN.fullmatch(part) and (text := part.decode()).isalpha() and text == text.lower():
+            return array("I", [t.id for t in self.word(part.decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
+        if VISIBLE.fullmatch(part) and b"<|" not in part and part == part.lower():
+            units = ASCII_UNITS.findall(part)
+            if len(units) > 1:
+                return b"".join([self[u] for u in units])
+        return array("I", self.tokenizer.encode_batch_fast([part.decode("utf-8", "replace")], add_special_tokens=False)[0].ids).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace")
+        if not self.by_parts:
+            return array("I", self.tokenizer.encode_batch_fast([raw.decode()], add_special_tokens=False)[0].ids).tobytes()
         # Lower-casing ASCII first makes fewer distinct parts; marks like <|...|> are told by case.
         return b"".join(map(self.__getitem__, (raw if b"<|" in raw else raw.lower()).split()))
 

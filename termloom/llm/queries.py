@@ -30,7 +30,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), cached=400_000)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), cached=800_000)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,24 @@ def test_packing_edges(spark):
     assert packing.pack(empty_documents(spark), queries.tokenizer_path()).count() == 0
 
 
+def test_ids_of_parts_are_the_tokenizers_own():
+    """Hard strings, with a cache so small that its halves change all the time; a vocabulary of other rules too."""
+    from array import array
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    draw = random.Random(5)
+    bits = [*"abcxyzABZ019.,;:!?'\"-_()<>|/ \t\n\x1c\x1f\x7f\x0b", "'s", "'ll", "<|endoftext|>", "<|", "é", "É", "ß", "ſ", "İ", "你", "\u0301", "½", "word.", "3.14", "e.g.", "http://a.b/c?d=1", "rock'n'roll"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randint(0, 14))) for _ in range(3000)]
+    for path, by_parts in ((queries.tokenizer_path(), True), (public_tokenizers.path("byte_bpe_50k.json"), False)):
+        words, whole = packing.WordIds(path, 20), Tokenizer.from_file(path)
+        assert words.by_parts == by_parts
+        for text in texts:
+            assert words.encode(text) == array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+            assert len(words) <= 11
+
+
 def test_op3(spark):
     rows = [(r["doc_id"], r["text"]) for r in common.table(spark, SF, "documents").collect()]
     got, sequences = checked_packing(queries.op3_pack(spark, SF), rows)
