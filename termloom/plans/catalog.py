@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from termloom import storage
 from termloom.functions import cleaning
-from termloom.functions.analysis import ENGLISH, PLAIN, Analyzer
+from termloom.functions.analysis import ENGLISH, PLAIN, Analyzer, vector_tokens
 from termloom.operators import index as ix
 from termloom.operators import pages as pg
 from termloom.operators import ranking, vectors
@@ -207,6 +207,91 @@ def crawl_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.crawl(pages, pages.select("url"), "example.com", 1)
 
 
+def crawl_depth_4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the first page on, as deep as a crawl goes by default."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return pg.crawl(pages, pages.orderBy("page_id").limit(1).select("url"), "example.com")
+
+
+def _file(spark: SparkSession) -> str:
+    """A new path for a file that a query writes first, as the test tables are Parquet only."""
+    return f"{storage.checkpoint_root(spark)}/files/{uuid.uuid4().hex}"
+
+
+def _crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a crawl's output: texts of several lines, quotes and commas; every third has a parent."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit('say "so",\n'), F.coalesce("text", F.lit("")), F.lit('\n\n"'))
+    parent = F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") + 1).cast("string")).otherwise("None")
+    cells = {"cid": F.col("doc_id"), "url": F.concat(F.lit("https://"), "source", F.lit("/a")), "author": F.col("lang"), "ts": F.lit("2016-01-01"), "parent": parent, "upvotes": F.col("n_chars").cast("int"), "downvotes": F.lit(None).cast("int"), "text": text}
+    return docs.select(*(c.alias(name) for name, c in cells.items()))
+
+
+def crawled_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl's output written as CSV and read again."""
+    path = _file(spark)
+    src.write_crawled(_crawled(spark, sf_dir), path)
+    return src.read_crawled(spark, path).select("cid", "url", "author", "ts", "parent_cid", F.col("upvotes").cast("long").alias("upvotes"), F.col("downvotes").cast("long").alias("downvotes"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def normalised_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crawl output with dense ids for urls and authors, written as a comment file without header and read again."""
+    path = _file(spark)
+    src.write_crawled(_crawled(spark, sf_dir), path)
+    comments_, _, _ = src.normalise(src.read_crawled(spark, path))
+    normal = _file(spark)
+    comments_.write.option("quoteAll", True).option("escape", '"').csv(normal)
+    read = src.read_comments(spark, normal)
+    return read.select("cid", F.col("article_id").cast("long").alias("article_id"), F.col("author_id").cast("long").alias("author_id"), "parent_cid", F.col("upvotes").cast("long").alias("upvotes"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark)
+    table(spark, sf_dir, "documents").select(F.concat_ws(",", "doc_id", "source", "lang")).write.text(path)
+    return src.read_id_list(spark, path).select(F.col("id").cast("long").alias("id"), "value")
+
+
+def id_list_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether page ids are dense, and one id beyond a gap."""
+    path = _file(spark)
+    lines = table(spark, sf_dir, "pages").select(F.concat_ws(",", "page_id", "url").alias("line")).unionByName(spark.range(1).select(F.lit("1000000000,far").alias("line")))
+    lines.write.text(path)
+    return src.id_list_gaps(src.read_id_list(spark, path)).select(*(F.col(c).cast("long").alias(c) for c in ("n", "lowest", "highest", "n_distinct")))
+
+
+def query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Country names as a file of queries, with blank lines between."""
+    path = _file(spark)
+    names = table(spark, sf_dir, "nation").select(F.concat(F.lit("  "), "n_name", F.lit(" \n")).alias("line"), "n_nationkey")
+    names.coalesce(1).sortWithinPartitions("n_nationkey").select("line").write.text(path)
+    return src.read_queries(spark, path)
+
+
+def repaired_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of quoted lines whose inner quotes were not doubled."""
+    line = F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit('","say "so" '), F.coalesce("text", F.lit("")), F.lit('","'), F.coalesce("lang", F.lit("")), F.lit('"'))
+    fields = cleaning.repaired_fields(line)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(fields).cast("long").alias("n_fields"), F.md5(F.array_join(fields, "|").cast("binary")).alias("digest"))
+
+
+def vector_tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = vector_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.md5(F.array_join(tokens, " ").cast("binary")).alias("digest"))
+
+
+def random_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comments at the locators of a list, one of them unknown, one named twice."""
+    wanted = spark.range(0, 60, 4).select((F.col("id") * F.col("id") - 16).alias("locator")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("locator")))
+    return ix.random_access(comments(spark, sf_dir), wanted).select("cid", "locator", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def training_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts for vector training, the fourth column of a file with header."""
+    path = _file(spark)
+    src.write_crawled(_crawled(spark, sf_dir).select("cid", "url", "author", "text", "ts"), path)
+    return src.training_texts(spark, path).select(F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 _RESOLVED = r"""SELECT page_id, CASE WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN raw
   WHEN starts_with(raw, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || raw
   WHEN starts_with(raw, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) || raw
@@ -253,6 +338,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "thread_ids": thread_ids,
     "vector_nn": vector_nn,
     "crawl_links": crawl_links,
+    "crawl_depth_4": crawl_depth_4,
+    "crawled_csv": crawled_csv,
+    "normalised_csv": normalised_csv,
+    "id_list": id_list,
+    "id_list_gaps": id_list_gaps,
+    "query_file": query_file,
+    "repaired_csv": repaired_csv,
+    "vector_tokens": vector_tokens_of,
+    "random_access": random_access,
+    "training_texts": training_texts,
     "batch_search": batch_search,
     "english_ranked": english_ranked,
     "english_lexicon": english_lexicon,
@@ -290,6 +385,10 @@ _WIDE = "replace(replace(text, ', ', '，'), '. ', '。')"
 for _mark, _to in cleaning.FULLWIDTH.items():
     _WIDE = f"replace({_WIDE}, '{_mark}', '{_to}')"
 
+_IN_DOMAIN = r"regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*\.)?example\.com([/?#]|$)')"
+_TEXT = "('say \"so\",' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '\"')"
+_PARENT = "CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id + 1 AS BIGINT) END"
+
 ORACLE_SQL: dict[str, str] = {
     "ranked_keywords": _ranked_sql(["ntea", "oure"], _docs_with("ntea", "oure"), 10),
     "keyword": _boolean_sql(_docs_with("oure")),
@@ -331,6 +430,18 @@ ORACLE_SQL: dict[str, str] = {
     "vector_nn": "WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings ORDER BY vec_id LIMIT 1) SELECT e.vec_id, round(1 - list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), q.v), 6) AS distance FROM embeddings e, q WHERE e.vec_id <> q.vec_id ORDER BY distance, e.vec_id LIMIT 5",
     "batch_search": _batch_sql(),
     "crawl_links": f"WITH l AS (SELECT page_id, link FROM ({_RESOLVED}) WHERE regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*\\.)?example\\.com([/?#]|$)')) SELECT url, min(depth) AS depth FROM (SELECT url, 0 AS depth FROM pages UNION ALL SELECT link, 1 FROM l) GROUP BY url",
+    "crawl_depth_4": f"""WITH RECURSIVE e AS (SELECT DISTINCT url AS source, link FROM ({_RESOLVED}) JOIN pages USING (page_id) WHERE {_IN_DOMAIN}),
+r(url, depth) AS (SELECT * FROM (SELECT url, 0 FROM pages ORDER BY page_id LIMIT 1) UNION SELECT link, depth + 1 FROM r JOIN e ON e.source = r.url WHERE depth < 4)
+SELECT url, min(depth) AS depth FROM r GROUP BY url""",
+    "crawled_csv": f"SELECT doc_id AS cid, 'https://' || source || '/a' AS url, lang AS author, '2016-01-01' AS ts, {_PARENT} AS parent_cid, CAST(n_chars AS BIGINT) AS upvotes, CAST(0 AS BIGINT) AS downvotes, md5({_TEXT}) AS digest FROM documents",
+    "normalised_csv": f"SELECT doc_id AS cid, CAST(dense_rank() OVER (ORDER BY source) - 1 AS BIGINT) AS article_id, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS BIGINT) AS author_id, {_PARENT} AS parent_cid, CAST(n_chars AS BIGINT) AS upvotes, md5({_TEXT}) AS digest FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL",
+    "id_list": "SELECT CAST(doc_id AS BIGINT) AS id, concat_ws(',', source, lang) AS value FROM documents",
+    "id_list_gaps": "SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(id) AS BIGINT) AS lowest, CAST(max(id) AS BIGINT) AS highest, CAST(count(DISTINCT id) AS BIGINT) AS n_distinct FROM (SELECT page_id AS id FROM pages UNION ALL SELECT 1000000000)",
+    "query_file": "SELECT CAST(2 * (row_number() OVER (ORDER BY n_nationkey) - 1) AS BIGINT) AS query_id, n_name AS query FROM nation",
+    "repaired_csv": "SELECT doc_id, CAST(len(string_split(body, '\",\"')) AS BIGINT) AS n_fields, md5(replace(body, '\",\"', '|')) AS digest FROM (SELECT doc_id, doc_id || '\",\"say \"so\" ' || coalesce(text, '') || '\",\"' || coalesce(lang, '') AS body FROM documents)",
+    "vector_tokens": r"SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{Nl}\p{No}_]+'), lambda w: length(w) BETWEEN 2 AND 15) AS t FROM documents)",
+    "random_access": "SELECT doc_id AS cid, doc_id AS locator, md5(text) AS digest FROM documents WHERE doc_id IN (SELECT i * i - 16 FROM range(0, 60, 4) a(i) UNION SELECT 0)",
+    "training_texts": f"SELECT md5({_TEXT}) AS digest FROM documents",
 }
 
 assert ranking.MU == 1500.0  # as in the SQL
