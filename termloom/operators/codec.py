@@ -49,9 +49,15 @@ def decode(data: bytes, codes: dict[str, str]) -> str:
     return "".join(out)
 
 
+#: Distinct characters that a code may have.
+MOST_SYMBOLS = 200_000
+
+
 def code_table(df, column: str) -> dict[str, str]:  # noqa: ANN001
-    """The code derived from a text column; its characters, not its rows, come to the driver."""
+    """The code derived from a text column; its characters, not its rows, come to the driver. Too many are an error."""
     from termloom.operators.index import char_frequencies
 
-    counts = char_frequencies(df, column).limit(200_000).collect()
+    counts = char_frequencies(df, column).limit(MOST_SYMBOLS + 1).collect()
+    if len(counts) > MOST_SYMBOLS:
+        raise ValueError(f"{column} has over {MOST_SYMBOLS} different characters")
     return derive({r["ch"]: r["n"] for r in counts})

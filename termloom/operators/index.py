@@ -97,16 +97,18 @@ def build(comments: DataFrame, path: str, analyzer: Analyzer = PLAIN) -> Index:
 
     Postings and lexicon are ordered by term over ranges, so a look-up reads the
     row groups of its terms only; ranges are of term and locator, so the postings of
-    a very frequent term are spread. Tokens are written once and read by all tables.
+    a very frequent term are spread. Comments and lengths are ordered by locator inside
+    each file, so that look-ups by locator skip pages, without a shuffle of the texts.
+    Tokens are written once and read by all tables.
     """
     spark = comments.sparkSession
     write = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}")
     read = lambda name: spark.read.parquet(f"{path}/{name}")
-    write(comments, "comments")
+    write(comments.sortWithinPartitions("locator"), "comments")
     tokens = storage.stored(tokenised(comments, analyzer))
     write(postings_of(tokens).repartitionByRange("term", "locator").sortWithinPartitions("term", "locator"), "postings")
     write(lexicon_of(read("postings")).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
-    write(doc_stats_of(tokens), "doc_stats")
+    write(doc_stats_of(tokens).sortWithinPartitions("locator"), "doc_stats")
     if "parent_cid" in comments.columns:
         write(replies_of(comments).repartitionByRange("parent_cid", "child_cid").sortWithinPartitions("parent_cid", "child_cid"), "replies")
     return load(spark, path, analyzer, with_replies="parent_cid" in comments.columns)

@@ -18,6 +18,8 @@ from termloom.plans.query import Kind, Query, Token, parse
 
 #: A term is a stop term if its stored postings take more bytes than this share of the corpus length.
 STOP_SHARE = 0.01
+#: Locators that a look-up of texts may name one by one.
+NAMED = 1000
 
 
 class Planner:
@@ -54,7 +56,10 @@ class Planner:
         return self._of_phrase(token)
 
     def _of_phrase(self, token: Token) -> DataFrame:
-        """Documents of the rarest known term (and of the second, unless it is a stop term) whose text holds the phrase."""
+        """Documents of the rarest known term (and of the second, unless it is a stop term) whose text holds the phrase.
+
+        A phrase may begin inside a word, which positions don't tell; so texts are looked at.
+        """
         terms = self.index.analyzer.split(token.text)
         known = self.sizes(terms)
         by_size = sorted({t for t in terms if t in known}, key=lambda t: (known[t][1], t))
@@ -63,7 +68,11 @@ class Planner:
         found = self._of_term(by_size[0])
         if len(by_size) > 1 and known[by_size[1]][1] < self.index.c * self.stop_share:
             found = found.join(self._of_term(by_size[1]).select("locator"), "locator", "left_semi")
-        holding = self.index.comments.where(F.contains(F.lower("text"), F.lit(token.phrase))).select("locator")
+        texts = self.index.comments
+        if known[by_size[0]][0] <= NAMED:
+            # no more documents than places: named in the scan, so that row groups and pages of other texts are skipped
+            texts = texts.where(F.col("locator").isin([r["locator"] for r in found.select("locator").collect()]))
+        holding = texts.where(F.contains(F.lower("text"), F.lit(token.phrase))).select("locator")
         return found.join(holding, "locator", "left_semi")
 
     def selected(self, query: Query) -> DataFrame:

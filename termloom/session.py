@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # look-ups by locator name up to this many in the scan (planner.NAMED)
+    "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows of very long texts: batches for Python are bounded in bytes too

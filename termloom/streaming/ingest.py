@@ -16,7 +16,7 @@ from termloom.operators import index as ix
 
 def append_batch(batch: DataFrame, batch_id: int, path: str, analyzer: Analyzer = PLAIN) -> None:
     tokens = ix.tokenised(batch, analyzer)
-    for name, df in (("comments", batch), ("doc_stats", ix.doc_stats_of(tokens)), ("postings", ix.postings_of(tokens).sortWithinPartitions("term", "locator"))):
+    for name, df in (("comments", batch.sortWithinPartitions("locator")), ("doc_stats", ix.doc_stats_of(tokens).sortWithinPartitions("locator")), ("postings", ix.postings_of(tokens).sortWithinPartitions("term", "locator"))):
         df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
 
 

@@ -140,3 +140,24 @@ def test_batch_equals_single(spark):
     for i, q in enumerate(("ntea oure", "ntea*")):
         assert [(r["cid"], r["score"]) for r in batch.where(F.col("query_id") == i).orderBy("rank").collect()] == [(r["cid"], r["score"]) for r in p.search(q, 5).collect()]
     assert ranking.first_n(batch, 2).count() == 2
+
+
+def test_phrase_reads_the_texts_of_its_candidates(spark):
+    from conftest import SF
+    from termloom.plans import catalog
+
+    index = catalog.index_of(spark, SF)
+    plan = lambda q: Planner(index).search(q)._jdf.queryExecution().executedPlan().toString()
+    texts = [line for line in plan("'eriner thanea'").splitlines() if "FileScan" in line and "text#" in line]
+    assert texts and all("locator#" in line and ("In(locator" in line or "EqualTo(locator" in line or "locator#" in line.split("PushedFilters")[0].split("DataFilters")[1]) for line in texts)
+    assert Planner(index).search("'eriner zzzzunknown'").count() == 0
+
+
+def test_too_many_symbols_are_an_error(spark, monkeypatch):
+    from termloom.operators import codec
+
+    df = spark.createDataFrame([("abca",)], "text string")
+    assert set(codec.code_table(df, "text")) == {"a", "b", "c"}
+    monkeypatch.setattr(codec, "MOST_SYMBOLS", 2)
+    with pytest.raises(ValueError):
+        codec.code_table(df, "text")
