@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 from termloom import storage
 from termloom.functions.analysis import LONGEST, PLAIN, SHORTEST, Analyzer
+from termloom.operators import grouping
+
+#: Tokens whose postings make a range, which is sorted in memory and is one file; and postings sampled for its bounds.
+TOKENS_A_RANGE, SAMPLED_A_RANGE = 1_500_000, 50
 
 
 def code_bits(text: Column) -> Column:
@@ -26,17 +30,51 @@ def tokenised(comments: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
     return comments.select("locator", analyzer.tokens(F.col("text")).alias("tokens"))
 
 
-def postings_of(tokens: DataFrame) -> DataFrame:
-    """Postings of (locator, tokens). All tokens count in lengths and positions; only terms of fitting length are indexed.
-
-    Documents are dealt out by locator as whole token arrays; grouping by term and
-    locator then needs no shuffle of its own.
-    """
+def _exploded(tokens: DataFrame) -> DataFrame:
+    """Postings without tf and range, by a shuffle and a sort of token rows: joins the rows that share a locator and a length."""
     each = tokens.repartition("locator").select("locator", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
     kept = each.where(F.length("term").between(SHORTEST, LONGEST))
     rows = kept.groupBy("term", "locator", "doc_len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     stored = F.concat(F.col("locator").cast("string"), F.lit(","), F.array_join("positions", ","))
-    return rows.select("term", "locator", "doc_len", F.size("positions").alias("tf"), "positions", (4 + code_bits(stored)).cast("long").alias("bits"))
+    return rows.select("term", "locator", "doc_len", "positions", (4 + code_bits(stored)).cast("long").alias("bits"))
+
+
+def _range_bounds(tokens: DataFrame, n_tokens: int) -> list[tuple[str, int]]:
+    """Pairs of term and locator that part postings into even ranges; chosen by a sample of tokens, as ranges of a sort are.
+
+    Only the size of ranges hangs on the sample; every posting is in one.
+    """
+    ranges = -(-n_tokens // TOKENS_A_RANGE)
+    if ranges < 2:
+        return []
+    documents = min(1.0, 20 * SAMPLED_A_RANGE * ranges / n_tokens)
+    each = tokens.sample(documents, seed=1).select("locator", F.explode(F.array_distinct("tokens")).alias("term"))
+    some = each.where(F.length("term").between(SHORTEST, LONGEST) & F.col("locator").isNotNull()).sample(min(1.0, SAMPLED_A_RANGE * ranges / (documents * n_tokens)), seed=2)
+    pairs = sorted((r["term"], r["locator"]) for r in some.collect())
+    return sorted({pairs[len(pairs) * i // ranges] for i in range(1, ranges)} if pairs else set())
+
+
+def _postings(tokens: DataFrame, bounds: list[tuple[str, int]]) -> DataFrame:
+    """Postings with the range between bounds that each belongs to."""
+    base = (4 + code_bits(F.concat(F.col("locator").cast("string"), F.lit(",")))).cast("long")
+    rows = lambda docs: grouping.grouped(docs.select("locator", "tokens", base.alias("bits")), SHORTEST, LONGEST, bounds)
+    twice = tokens.groupBy("locator").agg(F.count("*").alias("n")).where("n > 1").select(F.col("locator").alias("shared"))
+    if twice.isEmpty():
+        found = rows(tokens)
+    else:
+        is_shared = F.col("locator").eqNullSafe(F.col("shared"))
+        joined = _exploded(tokens.join(twice, is_shared, "left_semi")).withColumn("range", F.pmod(F.hash("term", "locator"), F.lit(len(bounds) + 1)))
+        found = rows(tokens.join(twice, is_shared, "left_anti")).unionByName(joined)
+    return found.select("term", "locator", "doc_len", F.size("positions").alias("tf"), "positions", "bits", "range")
+
+
+def postings_of(tokens: DataFrame) -> DataFrame:
+    """Postings of (locator, tokens). All tokens count in lengths and positions; only terms of fitting length are indexed.
+
+    A document's tokens are grouped in its row; only rows that share a locator, which a
+    first look at the locators tells, are grouped by a shuffle.
+    """
+    return _postings(tokens, []).drop("range")
 
 
 def lexicon_of(postings: DataFrame) -> DataFrame:
@@ -97,7 +135,8 @@ def build(comments: DataFrame, path: str, analyzer: Analyzer = PLAIN) -> Index:
 
     Postings and lexicon are ordered by term over ranges, so a look-up reads the
     row groups of its terms only; ranges are of term and locator, so the postings of
-    a very frequent term are spread. Comments and lengths are ordered by locator inside
+    a very frequent term are spread. Their number grows with the tokens, so that each
+    is sorted in memory. Comments and lengths are ordered by locator inside
     each file, so that look-ups by locator skip pages, without a shuffle of the texts.
     Tokens are written once and read by all tables.
     """
@@ -106,9 +145,10 @@ def build(comments: DataFrame, path: str, analyzer: Analyzer = PLAIN) -> Index:
     read = lambda name: spark.read.parquet(f"{path}/{name}")
     write(comments.sortWithinPartitions("locator"), "comments")
     tokens = storage.stored(tokenised(comments, analyzer))
-    write(postings_of(tokens).repartitionByRange("term", "locator").sortWithinPartitions("term", "locator"), "postings")
-    write(lexicon_of(read("postings")).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
     write(doc_stats_of(tokens).sortWithinPartitions("locator"), "doc_stats")
+    bounds = _range_bounds(tokens, corpus_stats_of(read("doc_stats")).first()["c"])
+    write(_postings(tokens, bounds).repartitionById(len(bounds) + 1, "range").drop("range").sortWithinPartitions("term", "locator"), "postings")
+    write(lexicon_of(read("postings")).repartitionByRange("term").sortWithinPartitions("term"), "lexicon")
     if "parent_cid" in comments.columns:
         write(replies_of(comments).repartitionByRange("parent_cid", "child_cid").sortWithinPartitions("parent_cid", "child_cid"), "replies")
     return load(spark, path, analyzer, with_replies="parent_cid" in comments.columns)
