@@ -11,34 +11,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termloom.functions.porter2 import stem
+from termloom.functions.porter2 import remembered, stem
 
 #: Terms of other lengths are counted in document lengths and positions, but not indexed.
 SHORTEST, LONGEST = 2, 126
-#: Stems remembered by a Python worker.
-REMEMBERED = 200_000
 
 
 def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-# Separations in order; the last full stop of a sentence stands alone, others stay.
+# Separations in order, each with the texts of which a sentence must hold one; the last full stop of a
+# sentence stands alone, others stay.
 SEPARATIONS = (
-    (r" ", " "),
-    (r"([،;؛¿!\"\])}»›”؟¡%٪°±©®।॥…])", r" $1 "),
-    (r"([(\[{“‘„‚«‹「『])", r" $1 "),
-    (r"([?])", r" $1 "),
-    (r"(,)(?![0-9])", r" $1 "),
-    (r"(?<![/0-9a-z])(:)|(:)(?![/0-9a-z])", r" : "),
-    (r"(?<= )(')|(')(?=\s|$)", r" ' "),
-    (r"(--+|\.\.+)", r" $1 "),
-    (r"(?<=\S)\.(?=\s*$)", r" ."),
+    (r"\xa0", " ", ("\xa0",)),
+    (r"([،;؛¿!\"\])}»›”؟¡%٪°±©®।॥…(\[{“‘„‚«‹「『?]|,(?![0-9]))", r" $1 ", ()),
+    (r"(?<![/0-9a-z])(:)|(:)(?![/0-9a-z])", r" : ", (":",)),
+    (r"(?<= )(')|(')(?=\s|$)", r" ' ", ("'",)),
+    (r"(--+|\.\.+)", r" $1 ", ("--", "..")),
+    (r"(?<=\S)\.(?=\s*$)", r" .", (".",)),
 )
 
 
@@ -46,26 +47,25 @@ def english_raw_tokens(text: Column) -> Column:
     """Lower-cased tokens, punctuation marks among them, before stemming."""
     sentences = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+", -1)
 
-    def tokens(sentence: Column) -> Column:
-        for pattern, to in SEPARATIONS:
-            sentence = F.regexp_replace(sentence, pattern, to)
-        return F.filter(F.split(sentence, r"\s+", -1), lambda t: t != "")
-
-    return F.flatten(F.transform(sentences, tokens))
+    def separation(pattern: str, to: str, marks: tuple[str, ...]) -> Callable[[Column], Column]:
+        def of(sentence: Column) -> Column:
+            separated = F.regexp_replace(sentence, pattern, to)
+            return F.when(reduce(or_, (F.contains(sentence, F.lit(m)) for m in marks)), separated).otherwise(sentence) if marks else separated
 
+        return of
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(tokens):  # noqa: ANN001, ANN202
-    memory: dict[str, str] = {}
+    for one in SEPARATIONS:
+        sentences = F.transform(sentences, separation(*one))
+    return F.flatten(F.transform(sentences, lambda s: F.filter(F.split(s, r"\s+", -1), lambda t: t != "")))
 
-    def of(t: str) -> str:
-        if t not in memory:
-            if len(memory) >= REMEMBERED:
-                memory.clear()
-            memory[t] = stem(t)
-        return memory[t]
 
-    return tokens.map(lambda row: [of(t) for t in row])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _stemmed(tokens: pa.Array) -> pa.Array:
+    # each different token of a batch once; remembered() lives in its module, so for as long as the worker's process
+    offsets = tokens.offsets
+    coded = tokens.flatten().dictionary_encode()
+    stems = pa.array([remembered(t) for t in coded.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(pc.subtract(offsets, offsets[0]), stems.take(coded.indices))
 
 
 def english_tokens(text: Column) -> Column:
@@ -93,7 +93,7 @@ def _english_split(text: str) -> list[str]:
 
     out = []
     for sentence in regex.split(r"(?<=[.!?])\s+", text.lower()):
-        for pattern, to in SEPARATIONS:
+        for pattern, to, _ in SEPARATIONS:
             sentence = regex.sub(pattern, to.replace("$1", r"\1"), sentence)
         out += sentence.split()
     return out
