@@ -44,12 +44,12 @@ def _pieces(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 def _range_of(terms: pa.Array, term_of: np.ndarray, locators: pa.Array, bounds: list[tuple[str, int]]) -> np.ndarray:
     """In which range between the sorted bounds each (term, locator) lies, of postings ordered by term; a term of some bounds is spread by locator."""
     firsts = [term for term, _ in bounds]
-    several = set(firsts)
-    low = np.fromiter((bisect_left(firsts, t) for t in terms.to_pylist()), np.int32, len(terms))
+    several, names = set(firsts), terms.to_pylist()
+    low = np.fromiter((bisect_left(firsts, t) for t in names), np.int32, len(names))
     ranges = low[term_of]
-    for code in np.flatnonzero(np.fromiter((t in several for t in terms.to_pylist()), bool, len(terms))):
+    for code in [i for i, t in enumerate(names) if t in several]:
         start, end = np.searchsorted(term_of, [code, code + 1])
-        inner = np.array([locator for _, locator in bounds[low[code] : bisect_right(firsts, terms[int(code)].as_py())]], np.int64)
+        inner = np.array([locator for _, locator in bounds[low[code] : bisect_right(firsts, names[code])]], np.int64)
         at = pc.fill_null(locators.slice(start, end - start), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         ranges[start:end] += np.searchsorted(inner, at, "right").astype(np.int32)
     return ranges
