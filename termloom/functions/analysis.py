@@ -31,15 +31,24 @@ def plain_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
-# Separations in order, each with the texts of which a sentence must hold one; the last full stop of a
-# sentence stands alone, others stay.
+def _holds(*marks: str) -> Callable[[Column], Column]:
+    return lambda sentence: reduce(or_, (F.contains(sentence, F.lit(m)) for m in marks))
+
+
+def _beyond_ascii(sentence: Column) -> Column:
+    return F.octet_length(sentence) != F.char_length(sentence)
+
+
+# Separations in order, each with a quick test of the sentences that it may change; the last full stop of
+# a sentence stands alone, others stay.
 SEPARATIONS = (
-    (r"\xa0", " ", ("\xa0",)),
-    (r"([،;؛¿!\"\])}»›”؟¡%٪°±©®।॥…(\[{“‘„‚«‹「『?]|,(?![0-9]))", r" $1 ", ()),
-    (r"(?<![/0-9a-z])(:)|(:)(?![/0-9a-z])", r" : ", (":",)),
-    (r"(?<= )(')|(')(?=\s|$)", r" ' ", ("'",)),
-    (r"(--+|\.\.+)", r" $1 ", ("--", "..")),
-    (r"(?<=\S)\.(?=\s*$)", r" .", (".",)),
+    (r"\xa0", " ", _beyond_ascii),
+    (r"([;!\"\])}?%(\[{]|,(?![0-9]))", r" $1 ", None),
+    (r"([،؛¿»›”؟¡٪°±©®।॥…“‘„‚«‹「『])", r" $1 ", _beyond_ascii),
+    (r"(?<![/0-9a-z])(:)|(:)(?![/0-9a-z])", r" : ", _holds(":")),
+    (r"(?<= )(')|(')(?=\s|$)", r" ' ", _holds("'")),
+    (r"(--+|\.\.+)", r" $1 ", _holds("--", "..")),
+    (r"(?<=\S)\.(?=\s*$)", r" .", _holds(".")),
 )
 
 
@@ -47,10 +56,10 @@ def english_raw_tokens(text: Column) -> Column:
     """Lower-cased tokens, punctuation marks among them, before stemming."""
     sentences = F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?<=[.!?])\s+", -1)
 
-    def separation(pattern: str, to: str, marks: tuple[str, ...]) -> Callable[[Column], Column]:
+    def separation(pattern: str, to: str, may_change: Callable[[Column], Column] | None) -> Callable[[Column], Column]:
         def of(sentence: Column) -> Column:
             separated = F.regexp_replace(sentence, pattern, to)
-            return F.when(reduce(or_, (F.contains(sentence, F.lit(m)) for m in marks)), separated).otherwise(sentence) if marks else separated
+            return F.when(may_change(sentence), separated).otherwise(sentence) if may_change else separated
 
         return of
 

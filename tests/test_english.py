@@ -26,3 +26,15 @@ def test_tokens_of_odd_texts(spark):
     }
     got = {r["text"]: r["tokens"] for r in spark.createDataFrame([(t,) for t in [*texts, None]], "text string").select("text", english_tokens(F.col("text")).alias("tokens")).collect()}
     assert got == {t: [stem(w) for w in tokens.split()] for t, tokens in texts.items()} | {None: []}
+
+
+def test_every_mark_is_separated(spark):
+    marks = "،;؛¿!\"])}»›”؟¡%٪°±©®।॥…([{“‘„‚«‹「『?"
+    rows = [(f"{first}{m}b{m}{m}9{m},7", m) for m in marks for first in "aé"]
+    got = spark.createDataFrame(rows, "text string, mark string").select("text", "mark", english_tokens(F.col("text")).alias("tokens")).collect()
+    assert all(r["tokens"] == [r["text"][0], r["mark"], "b", r["mark"], r["mark"], "9", r["mark"], ",7"] for r in got)
+
+
+def test_rare_separations_run_only_where_they_may_change_something(spark):
+    plan = spark.createDataFrame([], "text string").select(english_tokens(F.col("text")).alias("tokens"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("THEN regexp_replace") == plan.count("regexp_replace") - 1 > 1

@@ -3,12 +3,12 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.functions.analysis import PLAIN
+from termloom.functions.analysis import ENGLISH, PLAIN
 from termloom.operators import index as ix
 from termloom.plans.planner import Planner
 
 
-@pytest.mark.parametrize("analyzer", [PLAIN], ids=lambda a: a.name)
+@pytest.mark.parametrize("analyzer", [PLAIN, ENGLISH], ids=lambda a: a.name)
 def test_ranked_search_over_terms_of_several_ranges(spark, tmp_path, monkeypatch, analyzer):
     monkeypatch.setattr(ix, "TOKENS_A_RANGE", 60)
     words = ["blue", "green", "red", "grey", "runner", "x"]
